@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.functions.geometry import point
 from wayline.operators.activity import sessions
+from wayline.operators.proximity import near_points, zones_around
 from wayline.operators.references import orphan_references, orphan_report
 from wayline.operators.runs import position_runs
 from wayline.operators.timestamps import normalise_messages, normalise_sequences
+from wayline.operators.trips import stops_and_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_trips(spark: SparkSession, d: str) -> DataFrame:
+    return stops_and_trips(table(spark, d, "samples"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_trips(spark, d).select("kind", "id", "start_ms", "end_ms")
+
+
 def p2_normalised(spark: SparkSession, d: str) -> DataFrame:
     devices = table(spark, d, "devices")
     a = normalise_sequences(table(spark, d, "x0001_015"), devices).select(F.lit("x0001_015").alias("src"), "row_no", "utc_us")
@@ -53,6 +64,32 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
+def current_nodes(nodes: DataFrame) -> DataFrame:
+    """Position of the highest version of each node that is visible and has one: key, lon, lat. Ties of version: the invisible counts."""
+    last = F.max(F.struct(F.coalesce(F.col("version"), F.lit(-1)).alias("v"), F.coalesce(~F.col("visible"), F.lit(False)).alias("gone"), point(F.col("geom")).alias("p")))
+    x = nodes.where("id is not null").groupBy(F.col("id").alias("key")).agg(last.alias("r")).where("not r.gone and r.p is not null")
+    return x.select("key", "r.p.lon", "r.p.lat")
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "x0001_015").select(F.col("row_no").alias("key"), point(F.col("geom")).alias("p")).where("p is not null")
+    return x.select("key", "p.lon", "p.lat")
+
+
+def p5_near_nodes(spark: SparkSession, d: str) -> DataFrame:
+    x = near_points(_positions(spark, d), current_nodes(table(spark, d, "nodes")), 20.0)
+    return x.select(F.lit("node").alias("near"), F.col("left_key").alias("row_no"), F.col("right_key").alias("ref_id"))
+
+
+def p5_zones(spark: SparkSession, d: str) -> DataFrame:
+    x = zones_around(_positions(spark, d), table(spark, d, "zones").select(F.col("zone_id").alias("key"), "geom"))
+    return x.select(F.lit("zone").alias("near"), F.col("left_key").alias("row_no"), F.col("right_key").alias("ref_id"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_near_nodes(spark, d).unionByName(p5_zones(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sessions(table(spark, d, "samples")).select("id", "start_ms", "end_ms")
 
@@ -62,12 +99,17 @@ def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_trips": p1_trips,
     "p2_found": p2_found,
     "p2_normalised": p2_normalised,
     "p3_found": p3_found,
     "p3_events": p3_events,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_near_nodes": p5_near_nodes,
+    "p5_zones": p5_zones,
     "p6_found": p6_found,
     "p6_sessions": p6_sessions,
 }
