@@ -22,10 +22,13 @@ def normal_lon(lon: Column) -> Column:
 
 def point(wkt: Column) -> Column:
     """struct(lon, lat) of a WKT point; null for null, empty, malformed, non-finite or out-of-range points."""
-    pair = F.split(F.regexp_extract(wkt, POINT_PATTERN, 1), r"\s+")
-    lon, lat = F.get(pair, 0).try_cast("double"), F.get(pair, 1).try_cast("double")
-    ok = lon.isNotNull() & lat.between(-90.0, 90.0) & (F.abs(lon) < 1e6)
-    return F.when(ok, F.struct(normal_lon(lon).alias("lon"), lat.alias("lat")))
+    # each step binds its value by a lambda, so that the pattern is applied once
+    pair = F.array(F.split(F.regexp_extract(wkt, POINT_PATTERN, 1), r"\s+"))
+    number = lambda p, k: F.get(p, k).try_cast("double")
+    xy = F.transform(pair, lambda p: F.struct(number(p, F.lit(0)).alias("x"), number(p, F.lit(1)).alias("y")))
+    ok = lambda p: p["x"].isNotNull() & p["y"].between(-90.0, 90.0) & (F.abs(p["x"]) < 1e6)
+    made = F.transform(xy, lambda p: F.when(ok(p), F.struct(normal_lon(p["x"]).alias("lon"), p["y"].alias("lat"))))
+    return F.get(made, F.lit(0))
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -111,11 +111,13 @@ def _block(idx, real, t_s, lon, lat, c0, c1, out_lon, out_lat, out_v, state):
     sd = 5.0 + 10.0 * np.minimum(1.0, gap / 30.0)
     stay = -0.5 * (step / sd) ** 2 - np.log(1.2533 * sd)
     move = -step / (10.0 * gap) - np.log(10.0 * gap)
-    keep, change = np.log(0.95), np.log(0.05)
+    # the state may well change during a long interval
+    p = 0.05 + 0.45 * (1 - np.exp(-gap / 120.0))
+    log_keep, log_change = np.log(1 - p), np.log(p)
     back = np.zeros((2, width, n), bool)  # True: came from the other state
     a, b = np.zeros(n), np.zeros(n)
     for k in range(width - 1):
-        ok = real[:, k + 1]
+        ok, keep, change = real[:, k + 1], log_keep[k], log_change[k]
         from_b, from_a = b + change > a + keep, a + change > b + keep
         back[0, k + 1], back[1, k + 1] = from_b & ok, from_a & ok
         na = np.where(from_b, b + change, a + keep) + stay[k]

@@ -31,7 +31,7 @@ def _rim(lon: np.ndarray, lat: np.ndarray) -> list[float]:
     return np.column_stack([lon[far], lat[far]]).ravel().tolist()
 
 
-def kernel(table: pa.Table, radius_m: float, stay_us: int, silence_us: int, wild_mps: float) -> pa.Table:
+def kernel(table: pa.Table, radius_m: float, stay_us: int, silence_us: int, wild_mps: float, chunk_us: int) -> pa.Table:
     """Stop pieces, silences and path lengths of chunks; rows of a chunk (id, b) lie together in order of t."""
     ids = table.column("id").combine_chunks().dictionary_encode()
     code, b, t = ids.indices.to_numpy(), table.column("b").to_numpy(), table.column("t").to_numpy()
@@ -94,11 +94,12 @@ def kernel(table: pa.Table, radius_m: float, stay_us: int, silence_us: int, wild
         x, y = plane(lon[i : j + 1], lat[i : j + 1], lon[i], lat[i])
         for u, v in longest_stays(t[i : j + 1], x, y, radius_m, stay_us, at_rim):
             u, v = u + i, v + i
-            open_l, open_r = bool(u == g_first[g]) and not own[u], bool(v == g_last[g]) and not own[v]
+            # begun in an earlier chunk and still going on in this one; going on beyond what this chunk sees
+            open_l, open_r = not own[u] and t[v] >= b[v] * chunk_us, bool(v == g_last[g]) and not own[v]
             if not (own[u] or open_l) or (t[v] - t[u] < stay_us and not (open_l or open_r)):
                 continue
             rim = _rim(lon[u : v + 1], lat[u : v + 1]) if open_l or open_r else None
-            rows.append(("stop", code[u], b[u], t[u], t[v], bool(own[u]), open_l, open_r, cum[u], cum[v], float(np.mean(s_lon[u : v + 1])), float(np.mean(s_lat[u : v + 1])), v - u + 1, rim))
+            rows.append(("stop", code[u], b[u], t[u], t[v], bool(own[u]), bool(open_l), bool(open_r), cum[u], cum[v], float(np.mean(s_lon[u : v + 1])), float(np.mean(s_lat[u : v + 1])), v - u + 1, rim))
     for k in np.flatnonzero(silent & own):
         rows.append(("silence", code[k], b[k], t[k], t[k], True, False, False, 0.0, 0.0, None, None, 0, None))
     total = np.add.reduceat(np.where(own, inc, 0.0), g_first)
@@ -138,7 +139,7 @@ def _merge_open(pdf: pd.DataFrame, radius_m: float, stay_us: int) -> pd.DataFram
                 continue
         if r["own"]:
             out.append(r | {"b2": r["b"]})
-        elif last is not None and last["open_r"] and r["t2"] > last["t2"] and r["t2"] - last["t2"] >= stay_us:
+        elif last is not None and last["open_r"] and r["t1"] <= last["t2"] and r["t2"] - last["t2"] >= stay_us:
             out.append(r | {"t1": last["t2"], "b2": r["b"], "own": True})
     out = [r for r in out if r["t2"] - r["t1"] >= stay_us]
     cols = ["id", "b", "b2", "t1", "t2", "cum1", "cum2", "lon", "lat", "n"]
@@ -173,7 +174,7 @@ def stops_and_trips(
     # the neighbours of a chunk, however long the silence
     rims = got.withColumn("b", home).groupBy("id", "b").agg(F.min(F.struct("t", "lon", "lat")).alias("first"), F.max(F.struct("t", "lon", "lat")).alias("last"))
     w = Window.partitionBy("id").orderBy("b")
-    beside = rims.select("id", "b", F.explode(F.array(F.lag("last").over(w), F.lead("first").over(w))).alias("r")).where("r is not null")
+    beside = rims.select("id", "b", F.array(F.lag("last").over(w), F.lead("first").over(w)).alias("r")).select("id", "b", F.explode("r").alias("r")).where("r is not null")
     spread = spread.unionByName(beside.select("id", "b", "r.t", "r.lon", "r.lat", F.lit(False).alias("own")))
 
     stay_us, silence_us = int(stay_s * 1e6), int(silence_s * 1e6)
@@ -192,7 +193,7 @@ def stops_and_trips(
                 same = pa.compute.and_(pa.compute.equal(tail.column("id"), k_id), pa.compute.equal(tail.column("b"), k_b)).to_numpy(zero_copy_only=False)
                 end = int(len(t) - same.sum())
             if end:
-                yield from kernel(t.slice(0, end), radius_m, stay_us, silence_us, wild_mps).to_batches()
+                yield from kernel(t.slice(0, end), radius_m, stay_us, silence_us, wild_mps, chunk_us).to_batches()
             held = t.slice(end).combine_chunks().to_batches() if end < len(t) else []
             n = sum(map(len, held))
 
