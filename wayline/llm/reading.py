@@ -41,6 +41,7 @@ NOTICE = re.compile(
 NOISE = re.compile(r"https?://\S+|\([^()]*\d[^()]*\)")
 SENTENCE = re.compile(r"[^.!?…]+[.!?…]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
 LATIN = re.compile(r"[A-Za-z]")
 #: Signs of code, tables and chat.
 ODD = re.compile(r"[{}<>=\[\]|\;\t]|[☀-➿⬀-⯿\U0001f000-\U0001faff]")
@@ -78,28 +79,39 @@ def article_sentences(text: str) -> list[list[str]]:
             if not line or not (line[-1] in ".!?…"):
                 continue
         line = NOISE.sub(" ", line)
-        if NOTICE.search(line) and len(line) < 300:
+        if len(line) < 300 and NOTICE.search(line):
             continue
         if len(ODD.findall(line)) > max(0, len(line) // 200):
             continue
+        line = line.lower()
+        word = ASCII_WORD if line.isascii() else WORD
         for s in SENTENCE.findall(line):
-            words = WORD.findall(s)
+            words = word.findall(s)
             letters = "".join(words)
             # mostly letters, mostly Latin ones (garbled accents may be of any script)
-            if len(words) >= 2 and len(letters) > 0.6 * len(s.replace(" ", "")) and len(LATIN.findall(letters)) > 0.6 * len(letters):
-                out.append([w.lower() for w in words])
+            if len(words) >= 2 and len(letters) > 0.6 * (len(s) - s.count(" ")) and (letters.isascii() or len(LATIN.findall(letters)) > 0.6 * len(letters)):
+                out.append(words)
     return out
 
 
+_SIGNS: dict[str, tuple[float, float, float]] = {}
+
+
+def _signs(word: str) -> tuple[float, float, float]:
+    """How much a word speaks for each language; remembered."""
+    if len(_SIGNS) > 500_000:
+        _SIGNS.clear()
+    s = _SIGNS[word] = tuple(1.0 if word in COMMON[k] else 0.6 if ENDS[k].search(word) else 0.0 for k in LANGUAGES)
+    return s
+
+
 def language(words: list[str]) -> str | None:
     """en, de or fr by shares of small words and typical ends; null if neither is likely."""
-    seen = words[:4000] if len(words) > 4000 else words
-    best, score = None, 0.0
-    for lang in LANGUAGES:
-        s = sum(1.0 if w in COMMON[lang] else 0.6 if ENDS[lang].search(w) else 0.0 for w in seen) / len(seen)
-        if s > score:
-            best, score = lang, s
-    return best if score >= 0.15 else None
+    get = _SIGNS.get
+    signs = [get(w) or _signs(w) for w in words]
+    score = [sum(v) / len(words) for v in zip(*signs, strict=True)]
+    best = max(range(len(LANGUAGES)), key=lambda i: score[i])
+    return LANGUAGES[best] if score[best] >= 0.15 else None
 
 
 class Grader:
@@ -115,16 +127,11 @@ class Grader:
             known.clear()
         words = [w for s in sentences for w in s]
         n, m = len(words), len(sentences)
-        letters = syl = hard = long6 = one = 0
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = known[w] = syllables(w, lang)
-            letters += len(w)
-            syl += k
-            hard += k >= 3
-            long6 += len(w) > 6
-            one += k == 1
+        counts = [known.get(w) or known.setdefault(w, syllables(w, lang)) for w in words]
+        sizes = list(map(len, words))
+        letters, syl = sum(sizes), sum(counts)
+        one = counts.count(1)
+        hard, long6 = len(words) - one - counts.count(2), sum(k > 6 for k in sizes)
         wps, spw, cpw = n / m, syl / n, letters / n
         lix = wps + 100 * long6 / n
         rix = long6 / m
