@@ -18,11 +18,11 @@ from wayline.functions.geometry import EARTH_RADIUS_M, normal_lon
 TILE_ROWS = 50_000
 
 
-def _band(lat: Column, size: float) -> Column:
+def band_of(lat: Column, size: float) -> Column:
     return F.floor((lat + 90.0) / size).cast("long")
 
 
-def _columns(band: Column, size: float) -> Column:
+def columns_of(band: Column, size: float) -> Column:
     """Number of tiles round the globe in a band, so that tiles stay about square up to the poles."""
     low, high = F.abs(band * size - 90.0), F.abs((band + 1) * size - 90.0)
     return F.greatest(F.lit(1.0), F.floor(360.0 / size * F.cos(F.radians(F.least(F.lit(90.0), F.greatest(low, high)))))).cast("long")
@@ -35,12 +35,12 @@ def _tile(lon: Column, columns: Column) -> Column:
 def tiles(points: DataFrame, size: float, reach_m: float = 0.0) -> DataFrame:
     """Adds band and tile: the tile of each point (lon in [-180, 180), lat), or all tiles within ``reach_m`` of it, across the 180th meridian."""
     if not reach_m:
-        own = points.withColumn("band", _band(F.col("lat"), size)).withColumn("__n", _columns(F.col("band"), size))
+        own = points.withColumn("band", band_of(F.col("lat"), size)).withColumn("__n", columns_of(F.col("band"), size))
         return own.withColumn("tile", _tile(F.col("lon"), F.col("__n"))).drop("__n")
     dlat = float(np.degrees(reach_m / EARTH_RADIUS_M)) * 1.001
     lat = F.col("lat")
-    x = points.withColumn("band", F.explode(F.sequence(_band(F.greatest(lat - dlat, F.lit(-90.0)), size), _band(F.least(lat + dlat, F.lit(90.0)), size))))
-    x = x.withColumn("__n", _columns(F.col("band"), size))
+    x = points.withColumn("band", F.explode(F.sequence(band_of(F.greatest(lat - dlat, F.lit(-90.0)), size), band_of(F.least(lat + dlat, F.lit(90.0)), size))))
+    x = x.withColumn("__n", columns_of(F.col("band"), size))
     edge = F.least(F.lit(89.999999), F.abs(lat) + dlat)
     dlon = F.lit(dlat) / F.cos(F.radians(edge))
     wide = (F.abs(lat) + 2 * dlat >= 90.0) | (dlon >= 180.0)

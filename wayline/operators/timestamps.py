@@ -8,7 +8,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.session import lookup_join
+from wayline.session import lookup_join, made
 
 _CLOCK = r"(\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,18}))?)?"
 _ZONE = r"\s*(Z|z|[A-Z]{1,6}|[+-]\d{2}(?::?\d{2})?)?(?:\[([A-Za-z0-9_+/-]+)\])?"
@@ -71,18 +71,14 @@ def _readings(rows: DataFrame, devices: DataFrame) -> DataFrame:
     names = F.create_map(*(F.lit(x) for z, a, o in abbreviation_offsets(valid) for x in (f"{z} {a}", o))) if valid else F.create_map().cast("map<string,int>")
     is_zone = F.col("__zone").isin(valid) if valid else F.lit(False)
 
-    def step(df: DataFrame, **made: Column) -> DataFrame:
-        """Adds columns behind a generator, which keeps the optimizer from pasting their expressions into each later use."""
-        return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
-
     part = lambda i: F.get(F.col("__f"), i)
     num = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("0")).try_cast("int")
     x = lookup_join(rows, known, "id")
-    x = step(x, __t=F.trim(F.regexp_replace("text", r"[\s\x{A0}]+", " ")))
-    x = step(x, __f=F.split(fields(F.col("__t")), r"\|"), __number=F.when(F.col("__t").rlike(NUMBER), number_us(F.col("__t"))))
+    x = made(x, __t=F.trim(F.regexp_replace("text", r"[\s\x{A0}]+", " ")))
+    x = made(x, __f=F.split(fields(F.col("__t")), r"\|"), __number=F.when(F.col("__t").rlike(NUMBER), number_us(F.col("__t"))))
     swap = (part(0) == "slashes") & (F.col("__order") == "dmy")
     half, h = F.upper(part(8)), num(part(4))
-    x = step(
+    x = made(
         x,
         __y=num(part(1)),
         __mo=F.when(part(0) == "mail", F.expr(f"cast((instr('{MONTHS}', get(__f, 2)) + 2) div 3 as int)")).otherwise(num(F.when(swap, part(3)).otherwise(part(2)))),
@@ -100,7 +96,7 @@ def _readings(rows: DataFrame, devices: DataFrame) -> DataFrame:
     digits = F.regexp_replace(z, "[^0-9]", "")
     sign = F.when(F.substring(z, 1, 1) == "-", -1).otherwise(1)
     places = sorted(zoneinfo.available_timezones())
-    x = step(
+    x = made(
         x,
         __local=F.when(
             F.col("__ok"),
@@ -112,14 +108,14 @@ def _readings(rows: DataFrame, devices: DataFrame) -> DataFrame:
         .when(z.rlike(r"^[+-]"), sign * (F.substring(digits, 1, 2).try_cast("int") * 3600 + num(F.substring(digits, 3, 2)) * 60))
         .when(z != "", F.element_at(names, F.concat_ws(" ", F.col("__zone"), z))),
     )
-    x = step(x, __early=F.when(F.col("__here").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("__local"), F.col("__here")))))
+    x = made(x, __early=F.when(F.col("__here").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("__local"), F.col("__here")))))
     ahead = F.timestamp_micros(F.col("__early") + DAY_US)
     after = F.unix_micros(F.from_utc_timestamp(ahead, F.col("__here"))) - F.unix_micros(ahead)
-    x = step(x, __late=F.col("__local") - after, __exact=F.coalesce("__number", F.col("__local") - F.col("__offset").cast("long") * 1_000_000))
+    x = made(x, __late=F.col("__local") - after, __exact=F.coalesce("__number", F.col("__local") - F.col("__offset").cast("long") * 1_000_000))
     twice = (F.col("__late") > F.col("__early")) & (F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("__late"), F.col("__here"))) == F.col("__local"))
-    x = step(x, early=F.coalesce("__exact", "__early"), late=F.when(F.col("__exact").isNull() & twice, F.col("__late")))
+    x = made(x, early=F.coalesce("__exact", "__early"), late=F.when(F.col("__exact").isNull() & twice, F.col("__late")))
     # the local day on which clocks change, whole: from 18:00 of the day before
-    x = step(x, local_day=F.when(is_zone, F.floor((F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("early"), F.col("__zone"))) + DAY_US // 4) / DAY_US)))
+    x = made(x, local_day=F.when(is_zone, F.floor((F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("early"), F.col("__zone"))) + DAY_US // 4) / DAY_US)))
     return x.select(*rows.columns, "early", "late", "local_day")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.plans import data_queries
+from wayline.plans import data_queries, map_queries
 
-_MODULES = [data_queries]
+_MODULES = [data_queries, map_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p6_found(spark, sf_dir)
+    return map_queries.mm_match(spark, sf_dir)

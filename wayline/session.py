@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows of a lookup table that is ever broadcast.
@@ -48,3 +48,8 @@ def lookup_join(facts: DataFrame, table: DataFrame, key: str, rows: int = BROADC
     spread = facts.withColumn("__salt", (F.rand(7) * salts).cast("int"))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
+def made(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator, which keeps the optimizer from pasting their expressions into every later use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
