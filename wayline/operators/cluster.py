@@ -28,7 +28,10 @@ def cluster_line(values: DataFrame, eps: float, least: int) -> DataFrame:
     at = lambda c: F.floor(c / width)
     spread = lambda df: df.withColumn("home", at(F.col("x"))).withColumn("r", F.explode(F.array_distinct(F.array(at(F.col("x") - eps), F.col("home"), at(F.col("x") + eps)))))
     w = Window.partitionBy("r").orderBy("x")
-    counted = spread(one).withColumn("near", F.sum("n").over(w.rangeBetween(-eps, eps))).where("r = home").select("x", "n", "near")
+    # frames of fractional width are written in SQL
+    frame = lambda e, low, high: F.expr(f"{e} over (partition by r order by x range between {low} and {high})")
+    down, up = f"{eps!r}D preceding", f"{eps!r}D following"
+    counted = spread(one).withColumn("near", frame("sum(n)", down, up)).where("r = home").select("x", "n", "near")
     core = counted.where(F.col("near") >= least).select("x", at(F.col("x")).alias("r"))
     # a core begins a cluster if the core before it is more than eps away; the last core of the ranges before is looked up
     lasts = core.groupBy("r").agg(F.max("x").alias("top"))
@@ -41,10 +44,8 @@ def cluster_line(values: DataFrame, eps: float, least: int) -> DataFrame:
     cores = named.join(F.broadcast(carried), "r").select("x", F.coalesce("own", "carried").alias("cluster"))
     rest = counted.where(F.col("near") < least)
     both = spread(cores.select("x", "cluster", F.lit(1).alias("is_core"), F.lit(0).cast("long").alias("n")).unionByName(rest.select("x", F.lit(None).cast("double").alias("cluster"), F.lit(0).alias("is_core"), "n")))
-    mine = F.when(F.col("is_core") == 1, F.struct("x", "cluster"))
-    low = F.last(mine, ignorenulls=True).over(w.rangeBetween(-eps, 0))
-    high = F.first(mine, ignorenulls=True).over(w.rangeBetween(0, eps))
-    border = both.withColumn("low", low).withColumn("high", high).where("r = home and is_core = 0 and (low is not null or high is not null)")
+    both = both.withColumn("mine", F.when(F.col("is_core") == 1, F.struct("x", "cluster")))
+    border = both.withColumn("low", frame("last(mine, true)", down, "current row")).withColumn("high", frame("first(mine, true)", "current row", up)).where("r = home and is_core = 0 and (low is not null or high is not null)")
     pick = F.when(F.col("high").isNull() | (F.col("x") - F.col("low.x") <= F.col("high.x") - F.col("x")), F.col("low.cluster")).otherwise(F.col("high.cluster"))
     joined = border.select("x", "n", pick.alias("cluster"))
     return cores.join(counted.select("x", "n"), "x").select("x", "n", "cluster").unionByName(joined)

@@ -51,25 +51,35 @@ def cost_time_priority(length: Column, maxspeed: Column, priority: Column, fract
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): edges with equal component hang together through shared nodes; the component is named by its smallest node.
 
-    Smallest-label spreading over the node links with pointer jumping, so that the rounds grow with the logarithm of the diameter; every
-    round is written to the shared checkpoint folder and the loop ends when nothing changes. Edges with a null end are left out.
+    Every node follows the smallest label among its neighbours, the nodes that bear a label follow the best of them (hooking), and labels are
+    replaced by their own labels (jumping), so that the rounds grow with the logarithm of the number of nodes. Every round is written to the
+    shared checkpoint folder; the loop ends when nothing changes. Edges with a null end are left out.
     """
+    spark = edges.sparkSession
     clean = edges.where("source is not null and target is not null")
     links = cut(clean.select(F.col("source").alias("a"), F.col("target").alias("b")).union(clean.select("target", "source")).where("a <> b").distinct())
     nodes = clean.select(F.col("source").alias("v")).union(clean.select("target")).distinct()
     labels = cut(nodes.select("v", F.col("v").alias("l")))
-    for _ in range(rounds):
-        best = links.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        near = labels.join(best, labels["v"] == best["a"], "left").select("v", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
-        up = labels.select(F.col("v").alias("n"), F.col("l").alias("up"))
-        jumped = cut(near.join(up, "n").select("v", "l", F.least("n", "up").alias("new")))
-        changed = jumped.where("new <> l").limit(1).count()
-        labels = jumped.select("v", F.col("new").alias("l"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components are not stable after {rounds} rounds")
-    return clean.join(labels.select(F.col("v").alias("source"), F.col("l").alias("component")), "source").select("id", "component")
+    # derived predicates would double in number with every round
+    setting = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(setting, "true")
+    spark.conf.set(setting, "false")
+    try:
+        for _ in range(rounds):
+            best = links.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
+            near = labels.join(best, labels["v"] == best["a"], "left").select("v", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
+            hook = near.groupBy("l").agg(F.min("n").alias("h"))
+            hooked = cut(near.join(hook, "l").select("v", "l", F.least("n", "h").alias("n")))
+            up = hooked.select(F.col("v").alias("n"), F.col("n").alias("up"))
+            jumped = cut(hooked.join(up, "n").select("v", "l", F.least("n", "up").alias("new")))
+            labels = jumped.select("v", F.col("new").alias("l"))
+            if jumped.where("new <> l").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"components are not stable after {rounds} rounds")
+        return clean.join(labels.select(F.col("v").alias("source"), F.col("l").alias("component")), "source").select("id", "component")
+    finally:
+        spark.conf.set(setting, before)
 
 
 def path_costs(paths: DataFrame, edges: DataFrame, cost: Column) -> DataFrame:

@@ -216,7 +216,7 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
 
 def route_cost(s: SparkSession, d: str) -> DataFrame:
     c = roadmap.path_costs(_paths(s, d), _roads(s, d), F.round("length", 2))
-    return c.select("path_id", _milli(F.col("cost")).alias("cost_mm"), "n_edges")
+    return c.select("path_id", F.round(F.col("cost") * 1e4).cast("long").alias("cost_tenth_mm"), "n_edges")
 
 
 def path_valid(s: SparkSession, d: str) -> DataFrame:
@@ -495,7 +495,7 @@ SQL: dict[str, str] = {
     "map_split": f"with {_BASE} select id, base_id, heading, source, target, type, round(maxspeed * 1000)::bigint as maxspeed from road",
     "graph_successors": f"with {_BASE} select a.id, b.id as successor from road a join road b on a.target = b.source",
     "cost_time_priority": f"with {_BASE}, {_LENGTH} select r.id, round(round(len, 2) * 3.6 / least(maxspeed, 130) * greatest(1.0, priority) * 1000)::bigint as cost_ms from road r join pr on pr.way_id = r.refid and pr.seg = r.seg",
-    "route_cost": f"with {_BASE}, {_LENGTH}, e as (select b.refid as path_id, b.id, round(len, 2) as len from base b join pr on pr.way_id = b.refid and pr.seg = b.seg) select path_id, round((sum(len) - arg_min(len, id) * 0.25 - arg_max(len, id) * 0.25) * 1000)::bigint as cost_mm, count(*)::int as n_edges from e group by path_id",
+    "route_cost": f"with {_BASE}, {_LENGTH}, e as (select b.refid as path_id, b.id, round(len, 2) as len from base b join pr on pr.way_id = b.refid and pr.seg = b.seg) select path_id, round((sum(len) - arg_min(len, id) * 0.25 - arg_max(len, id) * 0.25) * 1e4)::bigint as cost_tenth_mm, count(*)::int as n_edges from e group by path_id",
     "path_valid": f"with {_BASE}, e as (select refid as path_id, source, lag(target) over (partition by refid order by id) as before from base) select path_id, bool_and(before is null or before = source) as valid from e group by path_id",
     "route_concat": f"with {_BASE}, e as (select refid as path_id, source, lag(target) over w as before, row_number() over w as k, count(*) over (partition by refid) as n from base window w as (partition by refid order by id)) select path_id, (case when before = source then n else 1 end)::int as n_edges, before = source as ok, 0.25::double as source_frac, (case when before = source then 0.75 else 1.0 end)::double as target_frac from e where k = 2",
     "mm_emission": f"{_NEAR} select key, target, round(exp(-0.5 * round(d, 3) * round(d, 3) / 100) / sqrt(2 * pi() * 100) * 1e9)::bigint as nano from hit where d < 30",
@@ -512,7 +512,7 @@ SQL: dict[str, str] = {
       c as (select *, sum(n) over (order by x range between 0.01::double preceding and 0.01::double following) as near from v),
       k as (select x, case when x - lag(x) over (order by x) <= 0.01 then null else x end as b from c where near >= 3),
       g as (select x, max(b) over (order by x) as cluster from k),
-      j as (select x, n, max(g.x) filter (g.x <= c.x) as lo, min(g.x) filter (g.x >= c.x) as hi from (select x, n from c where near < 3) c left join g on g.x between c.x - 0.01 and c.x + 0.01 group by c.x, c.n)
+      j as (select c.x, c.n, max(g.x) filter (g.x <= c.x) as lo, min(g.x) filter (g.x >= c.x) as hi from (select x, n from c where near < 3) c left join g on g.x between c.x - 0.01 and c.x + 0.01 group by c.x, c.n)
       select x, n, cluster from g join v using (x)
       union all select j.x, j.n, g.cluster from (select x, n, case when hi is null or x - lo <= hi - x then lo else hi end as m from j where lo is not null or hi is not null) j join g on g.x = j.m""",
 }
