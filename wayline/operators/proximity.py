@@ -75,8 +75,10 @@ def near_points(left: DataFrame, right: DataFrame, radius_m: float, size: float
     """
     size = size or max(0.01, float(np.degrees(radius_m / EARTH_RADIUS_M)) * 20)
     clean = lambda df: df.where("key is not null and lon is not null and lat between -90 and 90").select(F.col("key").cast("long").alias("key"), normal_lon(F.col("lon")).alias("lon"), "lat")
+    # new names give new columns, so that a table may be joined with itself
+    right = clean(right).select((F.col("key") + 0).alias("key"), (F.col("lon") + 0.0).alias("lon"), (F.col("lat") + 0.0).alias("lat"))
     by = ["band", "tile"]
-    l, r = _salted(tiles(clean(left), size), tiles(clean(right), size, radius_m), by, "key", "key", rows)
+    l, r = _salted(tiles(clean(left), size), tiles(right, size, radius_m), by, "key", "key", rows)
     chord = 2 * EARTH_RADIUS_M * float(np.sin(radius_m / EARTH_RADIUS_M / 2))
 
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:

@@ -133,12 +133,13 @@ def resolve_in_order(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy(*group)
     sure = F.when(F.col("late").isNull(), F.col("early"))
     unsure = F.when(F.col("late").isNotNull(), F.col("early"))
+    sure_that = lambda c: F.coalesce(c, F.lit(False))
     x = (
         one.withColumn("some", F.max("late").over(own)).where("some is not null")
         .withColumn("low", F.max(sure).over(w)).withColumn("high", F.min(sure).over(v))
         .withColumn("low_e", F.max(unsure).over(w)).withColumn("high_e", F.min(unsure).over(v))
-        .withColumn("second", F.col("late").isNotNull() & ((F.col("low") > F.col("early")) | (F.col("low_e") > F.col("early"))))
-        .withColumn("first", F.col("late").isNotNull() & ((F.col("high") < F.col("late")) | (F.col("high_e") < F.col("early"))))
+        .withColumn("second", F.col("late").isNotNull() & (sure_that(F.col("low") > F.col("early")) | sure_that(F.col("low_e") > F.col("early"))))
+        .withColumn("first", F.col("late").isNotNull() & (sure_that(F.col("high") < F.col("late")) | sure_that(F.col("high_e") < F.col("early"))))
         .withColumn("second", F.max("second").over(w)).withColumn("first", F.max("first").over(v) & ~F.col("second"))
     )
     o = Window.partitionBy(*group).orderBy("seq", "early")
