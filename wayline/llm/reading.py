@@ -197,6 +197,7 @@ def learn_limits(labelled: list[tuple[str, float, float]], least: int = 30) -> d
             above = (band > step).astype(int)
             # errors if the limit lies before position i: those above left of it, those below right of it
             wrong = np.r_[0, np.cumsum(above)] + np.r_[np.cumsum((1 - above)[::-1])[::-1], 0]
+            wrong[1:-1][grade[1:] == grade[:-1]] = len(x) + 1  # equal grades are not parted
             good = np.flatnonzero(wrong == wrong.min())
             i = int(good[len(good) // 2])
             limits.append(float(grade[0] - 1 if i == 0 else grade[-1] + 1 if i == len(grade) else (grade[i - 1] + grade[i]) / 2))
