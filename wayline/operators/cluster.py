@@ -92,8 +92,9 @@ def ring_bounds(clusters: DataFrame, modulo: float, eps: float, buffer: float =
     """
     w = Window.partitionBy("cluster").orderBy("x")
     own = Window.partitionBy("cluster")
-    x = clusters.select("cluster", "x", F.lead("x").over(w).alias("next"), F.min("x").over(own).alias("least")).withColumn("next", F.coalesce("next", F.col("least") + modulo))
-    gap = F.max(F.struct((F.col("next") - F.col("x")).alias("gap"), (-F.col("x")).alias("order"), "x", "next")).alias("g")
+    x = clusters.select("cluster", "x", F.lead("x").over(w).alias("next"), F.min("x").over(own).alias("least"))
+    gap = F.when(F.col("next").isNull(), F.col("least") + modulo - F.col("x")).otherwise(F.col("next") - F.col("x"))
+    gap = F.max(F.struct(gap.alias("gap"), (-F.col("x")).alias("order"), "x", F.coalesce("next", "least").alias("next"))).alias("g")
     best = x.groupBy("cluster").agg(gap)
     open_ = (F.col("g.gap") > eps + 1e-10) & (F.col("g.gap") > 2 * buffer)
     m = F.lit(float(modulo))
@@ -126,8 +127,12 @@ def ring_density(values: DataFrame, modulo: float, eps: float, buffer: float = 0
     grid = xs.crossJoin(F.broadcast(arcs.select("density").distinct()))  # every step against the few levels (a logarithm of the values)
     state = grid.join(marks, ["density", "x"], "left").withColumn("open", F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("density").orderBy("x")))
     steps = state.groupBy("x").agg(F.coalesce(F.max(F.when(F.col("open") > 0, F.col("density"))), F.lit(0).cast("long")).alias("density"))
+    # arcs of one place have no width: a step up and one down at the same x
+    tips = p.where("a = b").groupBy(F.col("a").alias("x")).agg(F.max("density").alias("tip"))
+    steps = steps.join(tips, "x", "left").withColumn("tip", F.when(F.col("tip") > F.col("density"), F.col("tip")))
     v = Window.orderBy("x")  # the steps of one ring
-    return steps.withColumn("before", F.lag("density").over(v)).where("before is null or before <> density").select("x", "density")
+    kept = steps.withColumn("before", F.lag("density").over(v)).where("before is null or before <> density or tip is not null")
+    return kept.select("x", F.explode(F.array_compact(F.array("tip", "density"))).alias("density"))
 
 
 def cluster_points(points: DataFrame, eps_m: float, least: int) -> DataFrame:
