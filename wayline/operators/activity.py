@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.functions.times import utc_micros
 from wayline.session import cut
 
 DAY_US = 86_400_000_000
@@ -25,7 +26,7 @@ def sessions(events: DataFrame, id_col: str = "id", time_col: str = "time", gap_
     gap = gap_ms * 1000
     if bucket_us <= 2 * gap:
         raise ValueError("a bucket must be longer than two gaps")
-    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    us = utc_micros(events, time_col)
     pings = events.select(F.col(id_col).alias("id"), us.alias("t")).where("id is not null and t is not null").distinct()
     home = F.floor(F.col("t") / bucket_us)
     near = F.array_distinct(F.array(F.floor((F.col("t") - gap) / bucket_us), home, F.floor((F.col("t") + gap) / bucket_us)))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.functions.times import utc_micros
+
 #: Aimed number of parent keys in a range and of references in a batch.
 RANGE_KEYS = 16_384
 BATCH_REFS = 100_000
@@ -20,7 +22,7 @@ def _parents(versions: DataFrame, table: str) -> DataFrame:
     return (
         versions.where("id is not null")
         .groupBy(F.col("id").cast("long").alias("key"))
-        .agg(F.max(order)["gone"].alias("gone"), F.unix_micros(F.min(F.col("tstamp").cast("timestamp"))).alias("since"))
+        .agg(F.max(order)["gone"].alias("gone"), F.min(utc_micros(versions, "tstamp")).alias("since"))
         .withColumn("ref_table", F.lit(table))
     )
 
@@ -58,7 +60,7 @@ def orphan_references(way_nodes: DataFrame, nodes: DataFrame, ways: DataFrame, r
     Keys are range-partitioned; a range holds about ``range_keys`` parents as a sorted array, and is probed by batches of at
     most about ``batch_refs`` references by binary search. A hot range is split into several batches with a copy of its parents each.
     """
-    raw = way_nodes.select(F.col("way_id").alias("owner"), F.col("sequence_id").alias("pos"), F.col("node_id").cast("long").alias("n"), F.unix_micros(F.col("tstamp").cast("timestamp")).alias("us"))
+    raw = way_nodes.select(F.col("way_id").alias("owner"), F.col("sequence_id").alias("pos"), F.col("node_id").cast("long").alias("n"), utc_micros(way_nodes, "tstamp").alias("us"))
     refs = (
         raw.groupBy("owner", "pos", "n").agg(F.min("us").alias("us"))
         .select("owner", "pos", "us", F.explode(F.array(
@@ -88,4 +90,4 @@ def orphan_references(way_nodes: DataFrame, nodes: DataFrame, ways: DataFrame, r
 
 def orphan_report(orphans: DataFrame, period: str = "month") -> DataFrame:
     """Counts of broken references per table, reason and load period: (ref_table, period, reason, n_refs). Unknown load time: null period."""
-    return orphans.groupBy("ref_table", F.date_format(F.date_trunc(period, F.timestamp_micros("load_us")), "yyyy-MM-dd").alias("period"), "reason").agg(F.count("*").alias("n_refs"))
+    return orphans.groupBy("ref_table", F.date_format(F.date_trunc(period, F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("load_us") / 86_400_000_000).cast("int"))), "yyyy-MM-dd").alias("period"), "reason").agg(F.count("*").alias("n_refs"))

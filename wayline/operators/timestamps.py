@@ -8,6 +8,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.functions.times import utc_micros
 from wayline.session import lookup_join, made
 
 _CLOCK = r"(\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,18}))?)?"
@@ -181,6 +182,6 @@ def normalise_messages(messages: DataFrame, devices: DataFrame) -> DataFrame:
     ``received`` (the earlier one if both are after it or received is null). Null bodies and bodies that are no JSON object name no instant.
     """
     body = F.from_json("body", "id string, time string")
-    got = messages.select("row_no", F.unix_micros(F.col("received").cast("timestamp")).alias("received"), body.alias("m"))
+    got = messages.select("row_no", utc_micros(messages, "received").alias("received"), body.alias("m"))
     x = _readings(got.select("row_no", "received", F.col("m.id").alias("id"), F.col("m.time").alias("text")), devices)
     return x.select("row_no", "id", F.when(F.col("late") <= F.col("received"), F.col("late")).otherwise(F.col("early")).alias("utc_us"))

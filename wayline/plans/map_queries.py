@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from wayline.functions.geometry import haversine, point
 from wayline.functions.hmm import Memory, step
+from wayline.functions.times import utc_micros
 from wayline.operators import cluster, evaluation, geo, matcher, osm, roadmap, routing, search
 from wayline.operators.activity import sessions
 from wayline.plans.data_queries import _NUM, current_nodes, table
@@ -60,7 +61,7 @@ def _traces(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pings(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "samples").select("id", F.unix_millis(F.col("time").cast("timestamp")).alias("time_ms"), point(F.col("point")).alias("p"), "azimuth", "received", "sample_no")
+    x = table(s, d, "samples").select("id", F.floor(utc_micros(table(s, d, "samples"), "time") / 1000).alias("time_ms"), point(F.col("point")).alias("p"), "azimuth", "received", "sample_no")
     return x.where("id is not null and time_ms is not null and p is not null").select("id", "time_ms", "p.lon", "p.lat", smp.normal_azimuth(F.col("azimuth")).alias("azimuth"), "received", "sample_no")
 
 
@@ -369,8 +370,7 @@ def _values(s: SparkSession, d: str) -> DataFrame:
 
 
 def _clock(s: SparkSession, d: str) -> DataFrame:
-    t = F.col("ts").cast("timestamp")
-    return table(s, d, "events").select((F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)).cast("double").alias("x"))
+    return table(s, d, "events").select(F.floor(F.pmod(utc_micros(table(s, d, "events"), "ts"), F.lit(86_400_000_000)) / 1_000_000).cast("double").alias("x"))
 
 
 def cl_1d(s: SparkSession, d: str) -> DataFrame:
