@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.geometry import point
 from wayline.functions.motion import STAY, longest_stays, metres, plane, smallest_circle, smooth_and_decode
+from wayline.functions.times import utc_micros
 from wayline.session import cut
 
 DAY_US = 86_400_000_000
@@ -125,25 +126,45 @@ def _first_true(own: np.ndarray, g_first: np.ndarray, g_last: np.ndarray) -> np.
     return np.minimum(np.minimum.reduceat(pos, g_first), g_last)
 
 
-def _merge_open(pdf: pd.DataFrame, radius_m: float, stay_us: int) -> pd.DataFrame:
-    """Join the pieces of one id that chunk rims cut: overlapping pieces that one circle holds are one stop."""
-    out: list[dict] = []
-    for r in pdf.sort_values(["t1", "t2"]).to_dict("records"):
-        last = out[-1] if out else None
+class _Joiner:
+    """Joins the pieces of an id that chunk rims cut, fed in order of begin: overlapping pieces that one circle holds are one stop."""
+
+    COLUMNS = ("id", "b", "b2", "t1", "t2", "cum1", "cum2", "lon", "lat", "n")
+
+    def __init__(self, radius_m: float, stay_us: int):
+        self.radius_m, self.stay_us = radius_m, stay_us
+        self.last: dict | None = None
+        self.done: list[dict] = []
+
+    def close(self) -> None:
+        if self.last is not None and self.last["t2"] - self.last["t1"] >= self.stay_us:
+            self.done.append(self.last)
+        self.last = None
+
+    def feed(self, r: dict) -> None:
+        last = self.last
+        if last is not None and last["id"] != r["id"]:
+            self.close()
+            last = None
         if last is not None and last["open_r"] and r["open_l"] and r["t1"] <= last["t2"]:
             pts = np.concatenate([np.asarray(last["rim"]), np.asarray(r["rim"])]).reshape(-1, 2)
             x, y = plane(pts[:, 0], pts[:, 1], pts[0, 0], pts[0, 1])
-            if smallest_circle(x, y)[2] <= radius_m + 0.01:
+            if smallest_circle(x, y)[2] <= self.radius_m + 0.01:
                 if r["t2"] > last["t2"]:
                     last.update(t2=r["t2"], cum2=r["cum2"], b2=r["b"], open_r=r["open_r"], n=last["n"] + r["n"], rim=pts.ravel().tolist())
-                continue
+                return
         if r["own"]:
-            out.append(r | {"b2": r["b"]})
-        elif last is not None and last["open_r"] and r["t1"] <= last["t2"] and r["t2"] - last["t2"] >= stay_us:
-            out.append(r | {"t1": last["t2"], "b2": r["b"], "own": True})
-    out = [r for r in out if r["t2"] - r["t1"] >= stay_us]
-    cols = ["id", "b", "b2", "t1", "t2", "cum1", "cum2", "lon", "lat", "n"]
-    return pd.DataFrame([{c: r[c] for c in cols} for r in out], columns=cols)
+            self.close()
+            self.last = r | {"b2": r["b"]}
+        elif last is not None and last["open_r"] and r["t1"] <= last["t2"] and r["t2"] - last["t2"] >= self.stay_us:
+            begin = last["t2"]
+            self.close()
+            self.last = r | {"t1": begin, "b2": r["b"], "own": True}
+
+    def take(self) -> pd.DataFrame:
+        out = pd.DataFrame([{c: r[c] for c in self.COLUMNS} for r in self.done], columns=self.COLUMNS)
+        self.done = []
+        return out
 
 
 def stops_and_trips(
@@ -163,7 +184,7 @@ def stops_and_trips(
     fix the exact ends. Stays cut by a chunk's rim are joined afterwards.
     """
     got = (
-        pings.select(F.col(id_col).cast("string").alias("id"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), point(F.col(point_col)).alias("p"))
+        pings.select(F.col(id_col).cast("string").alias("id"), utc_micros(pings, time_col).alias("t"), point(F.col(point_col)).alias("p"))
         .where("id is not null and t is not null and p is not null")
         .groupBy("id", "t").agg(F.min("p").alias("p"))
         .select("id", "t", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
@@ -210,9 +231,19 @@ def stops_and_trips(
     pieces = cut(spread.repartition("id", "b").sortWithinPartitions("id", "b", "t").select("id", "b", "t", "lon", "lat", "own").mapInArrow(run, PIECES_DDL))
     stop = pieces.where("kind = 'stop'")
     whole = stop.where("own and not open_l and not open_r").select("id", "b", F.col("b").alias("b2"), "t1", "t2", "cum1", "cum2", "lon", "lat", "n")
+
+    def join_open(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        j = _Joiner(radius_m, stay_us)
+        for pdf in frames:
+            for r in pdf.to_dict("records"):
+                j.feed(r)
+            yield j.take()
+        j.close()
+        yield j.take()
+
     merged = (
-        stop.where("open_l or open_r").groupBy("id")
-        .applyInPandas(lambda pdf: _merge_open(pdf, radius_m, stay_us), "id string, b long, b2 long, t1 long, t2 long, cum1 double, cum2 double, lon double, lat double, n long")
+        stop.where("open_l or open_r").repartition("id").sortWithinPartitions("id", "t1", "t2").drop("kind")
+        .mapInPandas(join_open, "id string, b long, b2 long, t1 long, t2 long, cum1 double, cum2 double, lon double, lat double, n long")
     )
     lengths = pieces.where("kind = 'length'").select("id", "b", F.coalesce(F.sum("cum2").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
     stops = (
