@@ -418,3 +418,32 @@ def test_batch_twins(spark):
     assert {r.no: r.late for r in tracker.late_flags(df, "no").collect()} == {1: False, 2: True, 3: False, 4: False}
     s = spark.createDataFrame([("a", 10, 1.0, 1.0), ("b", 99, 1.0, 1.0)], "id string, time_ms long, lon double, lat double")
     assert [r.id for r in tracker.latest_state(s, 50, 100).collect()] == ["b"]
+
+
+def test_filter_step_as_joins(spark):
+    from wayline.operators.filtering import filter_step
+
+    before = [(1, 0, 0.4, math.log10(0.4)), (1, 1, 0.6, math.log10(0.6)), (2, 0, 1.0, 0.0)]
+    now = [(1, 0, 0.6), (1, 1, 1.0), (1, 2, 0.4), (2, 0, 0.3), (2, 1, 0.7), (3, 0, 0.5), (3, 1, 0.0)]
+    ways = [(1, 0, 0, 0.5), (1, 1, 0, 0.2), (1, 1, 1, 0.3), (1, 0, 2, 0.0), (2, 0, 0, None)]
+    got = filter_step(spark.createDataFrame(before, "key long, i int, filtprob double, seqprob double"), spark.createDataFrame(now, "key long, j int, emission double"), spark.createDataFrame(ways, "key long, i int, j int, p double"))
+    rows = {(r.key, r.j): (r.filtprob, r.seqprob, r.pred, r.fresh) for r in got.collect()}
+    kernel = step([State((0,), 0.4, math.log10(0.4)), State((1,), 0.6, math.log10(0.6))], [((0,), 0.6), ((1,), 1.0), ((2,), 0.4)], {(0, 0): (0.5, None), (1, 0): (0.2, None), (1, 1): (0.3, None)})
+    for s in kernel:
+        f, q, p, fresh = rows[1, s.what[0]]
+        assert f == pytest.approx(s.filtprob) and q == pytest.approx(s.seqprob) and p == s.pred.what[0] and not fresh
+    assert set(rows) == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)}
+    assert rows[2, 1] == (pytest.approx(0.7), pytest.approx(math.log10(0.7)), None, True) and rows[3, 0][0] == 1.0
+
+
+def test_forms(spark):
+    m = spark.createDataFrame([("a", 0, 5, 0, 0.5, 11.0, 48.0, 0.9, -1.0, None, None), ("a", 0, 9, 2, 0.5, 11.1, 48.0, 0.8, -2.0, 12.0, [0, 2])], matcher.MATCHED)
+    _, roads = fixture_map(spark)
+    get = lambda kind: json.loads(matcher.formatted(m, roads, kind).first()["json"])
+    assert get("slim") == [{"road": 0, "frac": 0.5, "time": 5}, {"road": 2, "frac": 0.5, "time": 9}]
+    assert get("geojson")["type"] == "MultiPoint" and get("debug")[1]["route"] == [0, 2] and get("osm") == ["0:0:1", "1:1:2"]
+    with pytest.raises(ValueError):
+        matcher.formatted(m, roads, "xml")
+    u = spark.createDataFrame([("a", 1, '[{"edge":1,"frac":0.5,"prob":0.995},{"edge":2,"frac":0.5,"prob":0.005}]')], "id string, time_ms long, candidates string")
+    r = tracker.visible_candidates(u).collect()
+    assert [(x.edge, round(x.opacity, 6)) for x in r] == [(1, round(math.log10(9 * 0.995 + 1), 6))]

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from wayline.functions.geometry import haversine, point
 from wayline.functions.hmm import Memory, step
 from wayline.functions.times import utc_micros
-from wayline.operators import cluster, evaluation, geo, matcher, osm, roadmap, routing, search
+from wayline.operators import cluster, evaluation, filtering, geo, matcher, osm, roadmap, routing, search
 from wayline.operators.activity import sessions
 from wayline.plans.data_queries import _NUM, current_nodes, table
 from wayline.session import cut
@@ -330,6 +330,41 @@ def _hmm(pdf, k: int = -1, t: int = -1):
 _HMM = "way_id long, filtprob double, seqprob double, sequence string, n_candidates int, n_vectors int"
 
 
+def _vectors(s: SparkSession, d: str):
+    """Of every way: the first two nodes as vectors of two states, and the transitions between them (none where the second node divides by 17)."""
+    w = Window.partitionBy("way_id").orderBy("sequence_id")
+    x = osm.steps(table(s, d, "way_nodes")).withColumn("k", F.row_number().over(w)).where("k <= 2")
+    odd = F.pmod("node_id", F.lit(2)) == 1
+    states = F.explode(F.array(F.struct(F.lit(0).alias("j"), F.when(odd, 0.7).otherwise(0.2).alias("emission")), F.struct(F.lit(1).alias("j"), F.when(odd, 0.3).otherwise(0.8).alias("emission")))).alias("v")
+    v = x.select(F.col("way_id").alias("key"), "k", "node_id", states).select("key", "k", "node_id", "v.j", "v.emission")
+    none = s.createDataFrame([], "key long, i int, filtprob double, seqprob double")
+    ways = x.where("k = 2 and node_id % 17 <> 0").select(F.col("way_id").alias("key"), F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(0.9 if a == b else 0.1).alias("p")) for a in range(2) for b in range(2)))).alias("t"))
+    first = filtering.filter_step(none, v.where("k = 1").select("key", "j", "emission"), s.createDataFrame([], "key long, i int, j int, p double"))
+    return first, v.where("k = 2").select("key", "j", "emission"), ways.select("key", "t.i", "t.j", "t.p")
+
+
+def _nano(df: DataFrame) -> DataFrame:
+    n = lambda c: F.round(F.col(c) * 1e9).cast("long").alias(c)
+    return df.select("key", "j", n("filtprob"), n("seqprob"), F.coalesce("pred", F.lit(-1)).alias("pred"), "fresh")
+
+
+def hmm_initial(s: SparkSession, d: str) -> DataFrame:
+    return _nano(_vectors(s, d)[0])
+
+
+def _second(s: SparkSession, d: str) -> DataFrame:
+    first, now, ways = _vectors(s, d)
+    return _nano(filtering.filter_step(first.select("key", F.col("j").alias("i"), "filtprob", "seqprob"), now, ways))
+
+
+def hmm_step(s: SparkSession, d: str) -> DataFrame:
+    return _second(s, d).where("not fresh")
+
+
+def hmm_break(s: SparkSession, d: str) -> DataFrame:
+    return _second(s, d).where("fresh")
+
+
 def hmm_viterbi(s: SparkSession, d: str) -> DataFrame:
     return osm.steps(table(s, d, "way_nodes")).groupBy("way_id").applyInPandas(lambda p: _hmm(p), _HMM)
 
@@ -418,7 +453,7 @@ QUERIES: dict[str, Query] = {
         mm_match, src_road_types, src_road_scan_filtered, src_samples_json, snk_last_value, imp_way_nodes_join, imp_node_counts, imp_way_aggs, imp_oneway, imp_maxspeed, imp_segments,
         geo_distance, geo_length, geo_heading_diff, geo_wkt, geo_in_polygon, geo_intercept, geo_interpolate, geo_azimuth, geo_envelope, geo_intersect, idx_radius, idx_nearest, idx_knearest,
         idx_roadpoints, map_split, graph_successors, graph_components, cost_time_priority, route_cost, path_valid, route_concat, route_shortest, route_bounded, route_msmt, mm_candidates, mm_minset,
-        mm_emission, mm_bound, mm_transition, mm_thin, mm_slim_json, mm_geojson, mm_osm_ways, hmm_viterbi, kstate_k, kstate_t, ev_subsample, ev_sequence, ev_align, cl_1d, cl_cyclic, cl_bounds,
+        mm_emission, mm_bound, mm_transition, mm_thin, mm_slim_json, mm_geojson, mm_osm_ways, hmm_initial, hmm_step, hmm_break, hmm_viterbi, kstate_k, kstate_t, ev_subsample, ev_sequence, ev_align, cl_1d, cl_cyclic, cl_bounds,
         cl_density_function, cl_dbscan, st_latest_state, st_late_flags, st_thin, st_sessions_by_ttl,
     )
 }
@@ -468,6 +503,13 @@ _PINGS = f"pg as (select sample_no, id, epoch_ms(time) as time_ms, {_FOLD}, azim
 _PLACES = f"pl as (select row_no as key, {_FOLD} from (select row_no, {_xy('geom')} from x0001_015) where {_VALID})"
 _NEAR = f"with {_NODES}, {_PLACES}, hit as (select pl.key, nd.id as target, {_HAV.format(a='pl', b='nd')} as d from pl join nd on nd.lat between pl.lat - 0.0003 and pl.lat + 0.0003)"
 _ALLPAIRS = f"with {_NODES}, {_PLACES}, hit as (select pl.key, nd.id as target, {_HAV.format(a='pl', b='nd')} as d from pl, nd)"
+_HMM2 = """with st as (select way_id, sequence_id, min(node_id) as node_id from way_nodes where node_id is not null group by all),
+x as (select way_id as key, node_id, row_number() over (partition by way_id order by sequence_id) as k from st),
+v as (select key, k, node_id, j, case when abs(node_id % 2) = 1 then (case j when 0 then 0.7 else 0.3 end) else (case j when 0 then 0.2 else 0.8 end) end::double as e from x, (select unnest([0, 1]) as j) where k <= 2),
+f1 as (select key, j, e / sum(e) over (partition by key) as f, log10(e) as q from v where k = 1),
+t as (select b.key, b.j, b.e, a.j as i, a.f, case when a.j = b.j then 0.9 else 0.1 end::double as p, a.q + log10(case when a.j = b.j then 0.9 else 0.1 end::double) + log10(b.e) as q from v b join f1 a on a.key = b.key where b.k = 2 and b.node_id % 17 <> 0),
+g as (select key, j, e * sum(p * f) as f, max(q) as q, arg_max(i, (q, -i)) as pred from t group by key, j, e)
+"""
 _STEPDT = f"with {_PINGS}, dt as (select id, sample_no, time_ms - lag(time_ms) over (partition by id order by time_ms, sample_no) as dt from pg)"
 
 SQL: dict[str, str] = {
@@ -501,6 +543,9 @@ SQL: dict[str, str] = {
     "mm_emission": f"{_NEAR} select key, target, round(exp(-0.5 * round(d, 3) * round(d, 3) / 100) / sqrt(2 * pi() * 100) * 1e9)::bigint as nano from hit where d < 30",
     "mm_bound": f"{_STEPDT} select id, sample_no, greatest(1000.0, least(15000.0, floor(dt / 1000.0) * 100))::double as bound from dt where dt is not null",
     "mm_transition": f"{_STEPDT} select id, sample_no, round(exp(-10.0 / (greatest(1.0, dt) / 1000)) / (greatest(1.0, dt) / 1000) * 1e9)::bigint as nano from dt where dt is not null",
+    "hmm_initial": _HMM2 + "select key, j, round(f * 1e9)::bigint as filtprob, round(q * 1e9)::bigint as seqprob, -1 as pred, true as fresh from f1",
+    "hmm_step": _HMM2 + "select key, j, round(f / sum(f) over (partition by key) * 1e9)::bigint as filtprob, round(q * 1e9)::bigint as seqprob, pred, false as fresh from g",
+    "hmm_break": _HMM2 + "select key, j, round(e / sum(e) over (partition by key) * 1e9)::bigint as filtprob, round(log10(e) * 1e9)::bigint as seqprob, -1 as pred, true as fresh from v where k = 2 and node_id % 17 = 0",
     "ev_subsample": f"with {_PINGS}, u as (select distinct id, time_ms from pg), v as (select *, min(time_ms) over (partition by id) as a, max(time_ms) over (partition by id) as b from u) select id, time_ms from v where ((time_ms - a) // 1000) % 30 = 0 or time_ms in (a, b)",
     "st_latest_state": f"with {_PINGS} select id, time_ms, lon, lat from (select *, row_number() over (partition by id order by time_ms desc, lon desc, lat desc) as rn from pg) where rn = 1",
     "st_late_flags": f"with {_PINGS} select sample_no, coalesce(time_ms < max(time_ms) over (partition by id order by sample_no rows between unbounded preceding and 1 preceding), false) as late from pg",

@@ -40,12 +40,12 @@ def lookup_join(facts: DataFrame, table: DataFrame, key: str, rows: int = BROADC
     """Left join of facts with a table that is unique by ``key``.
 
     The table is broadcast only after its row count was checked against ``rows``. Beyond that the join shuffles, with the
-    facts salted 16-fold against hot keys and the table repeated once per salt.
+    facts salted 16-fold, by a hash of the row, against hot keys and the table repeated once per salt.
     """
     if small_enough(table.select(key), rows):
         return facts.join(F.broadcast(table), key, "left")
     salts = 16
-    spread = facts.withColumn("__salt", (F.rand(7) * salts).cast("int"))
+    spread = facts.withColumn("__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [key, "__salt"], "left").drop("__salt")
 

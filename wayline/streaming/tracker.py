@@ -127,3 +127,12 @@ def late_flags(samples: DataFrame, order: str) -> DataFrame:
 
     w = Window.partitionBy("id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return samples.withColumn("late", F.coalesce(F.col("time_ms") < F.max("time_ms").over(w), F.lit(False)))
+
+
+def visible_candidates(updates: DataFrame, least: float = 0.01) -> DataFrame:
+    """Candidates of updates worth showing: (id, time_ms, edge, frac, prob, opacity) with a probability above ``least``; opacity log10(9 p + 1)."""
+    from pyspark.sql import functions as F
+
+    c = F.from_json("candidates", "array<struct<edge: long, frac: double, prob: double>>")
+    x = updates.select("id", "time_ms", F.explode(c).alias("c")).select("id", "time_ms", "c.*")
+    return x.where(F.col("prob") > least).withColumn("opacity", F.log10(9 * F.col("prob") + 1))
