@@ -70,30 +70,27 @@ def roads_within(points: DataFrame, base: DataFrame, radius_m: float) -> DataFra
     """(key, road, frac, distance, lon, lat, azimuth): base roads less than ``radius_m`` (strictly, ellipsoidal) from points (key, lon, lat), with fraction, place and
     forward azimuth of the closest point.
 
-    Segments, cut into pieces no longer than a tile (long ones in coarser tiles), register in the tiles under the pieces widened by the radius; a plain
-    estimate drops most pairs, and the vectorised kernel computes the foot on each segment, and the first best segment of a road counts.
+    Segments are cut into pieces no longer than a tile, long ones from coarse to fine and only where there are points, and register in the tiles within the
+    radius of the pieces; a plain estimate drops most pairs, and the vectorised kernel computes the foot on each segment, and the first best segment of a road counts.
     """
-    finest = max(0.005, float(np.degrees(radius_m / EARTH_RADIUS_M)) * 2)
+    finest = max(0.0015, float(np.degrees(radius_m / EARTH_RADIUS_M)) * 2)
+    places = points.where("lon is not null and lat is not null").select("key", "lon", "lat")
     seg = cut(_pieces(_measured(road_segments(base)), float(np.radians(finest)) * EARTH_RADIUS_M))
-    levels = sorted(r[0] for r in seg.select("level").distinct().collect())  # at most 9: tiles grow fourfold up to the globe
-    pad = float(np.degrees(radius_m / EARTH_RADIUS_M)) * 1.01
-    joined = None
-    for level in levels:
-        size = finest * 4**level
-        bulge = 0.0 if level == 0 else size / 100  # a long piece is no straight line in degrees
-        low_y, high_y = F.least("py", "qy") - pad - bulge, F.greatest("py", "qy") + pad + bulge
-        lon_pad = F.lit(pad + bulge) / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("py"), F.abs("qy")) + pad + bulge)))
-        # one across the 180th meridian turns about its first end
-        turned = F.col("px") + F.pmod(F.col("qx") - F.col("px") + 180.0, F.lit(360.0)) - 180.0
-        s = seg.where(F.col("level") == level).withColumn("band", F.explode(F.sequence(band_of(F.greatest(low_y, F.lit(-90.0)), size), band_of(F.least(high_y, F.lit(90.0)), size)))).withColumn("n", columns_of(F.col("band"), size))
-        low = F.floor((F.least(F.col("px"), turned) - lon_pad + 180.0) / 360.0 * F.col("n")).cast("long")
-        high = F.floor((F.greatest(F.col("px"), turned) + lon_pad + 180.0) / 360.0 * F.col("n")).cast("long")
-        s = s.withColumn("tile", F.explode(F.sequence(low, F.least(high, low + F.col("n") - 1)))).withColumn("tile", F.pmod("tile", F.col("n"))).drop("n", "level")
-        one = tiles(points.where("lon is not null and lat is not null").select("key", "lon", "lat"), size).join(s, ["band", "tile"])
-        joined = one if joined is None else joined.unionByName(one)
+    levels = sorted((r[0] for r in seg.select("level").distinct().collect()), reverse=True)  # at most 9: tiles grow fourfold up to the globe
     key = points.schema["key"].dataType.simpleString()
-    if joined is None:
+    if not levels:
         return points.sparkSession.createDataFrame([], f"key {key}, road long, frac double, distance double, lon double, lat double, azimuth double")
+    # long pieces are refined only where there are points: those in tiles without any are dropped, level by level
+    live = None
+    for level in range(levels[0], 0, -1):
+        own = seg.where(F.col("level") == level)
+        live = own if live is None else live.unionByName(own)
+        size = finest * 4**level
+        taken = tiles(places, size).select("band", "tile").distinct()
+        live = _halves(cut(_in_tiles(live, size, radius_m).join(taken, ["band", "tile"], "left_semi").drop("band", "tile").distinct()))
+    last = seg.where("level = 0")
+    live = last if live is None else live.unionByName(last)
+    joined = tiles(places, finest).join(_in_tiles(live, finest, radius_m), ["band", "tile"])
     # a plain estimate first: the distance from the straight piece, less what it may bend
     k = F.cos(F.radians("lat"))
     east = lambda a, b: (F.pmod(F.col(a) - F.col(b) + 180.0, F.lit(360.0)) - 180.0) * k
@@ -137,8 +134,26 @@ def _measured(seg: DataFrame) -> DataFrame:
     return with_part.withColumn("offset", F.coalesce(F.sum("part").over(w.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("total", F.sum("part").over(w))
 
 
+_PLACED = ("f0", "f1", "px", "py", "qx", "qy")
+
+
+def _in_tiles(pieces: DataFrame, size: float, radius_m: float) -> DataFrame:
+    """Pieces with all tiles (band, tile) of ``size`` within the radius of them."""
+    # besides the radius: what a long piece may bend away from the straight line in degrees
+    pad = float(np.degrees(radius_m / EARTH_RADIUS_M)) * 1.01 + 0.0153 * size * size
+    low_y, high_y = F.least("py", "qy") - pad, F.greatest("py", "qy") + pad
+    lon_pad = F.lit(pad) / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("py"), F.abs("qy")) + pad)))
+    # one across the 180th meridian turns about its first end
+    turned = F.col("px") + F.pmod(F.col("qx") - F.col("px") + 180.0, F.lit(360.0)) - 180.0
+    x = pieces.withColumn("band", F.explode(F.sequence(band_of(F.greatest(low_y, F.lit(-90.0)), size), band_of(F.least(high_y, F.lit(90.0)), size)))).withColumn("n", columns_of(F.col("band"), size))
+    low = F.floor((F.least(F.col("px"), turned) - lon_pad + 180.0) / 360.0 * F.col("n")).cast("long")
+    high = F.floor((F.greatest(F.col("px"), turned) + lon_pad + 180.0) / 360.0 * F.col("n")).cast("long")
+    x = x.withColumn("tile", F.explode(F.sequence(low, F.least(high, low + F.col("n") - 1)))).withColumn("tile", F.pmod("tile", F.col("n"))).drop("n")
+    return x
+
+
 def _pieces(seg: DataFrame, finest_m: float) -> DataFrame:
-    """Adds level, p and q: one row per piece of a segment. Pieces are at most ``finest_m`` times 4 to the level long, with the least level at which they are at most 64."""
+    """Adds level, f0, f1 (fractions of the segment) and the ends p and q: one row per piece, at most ``finest_m`` times 4 to the level long, with the least level at which a segment has at most 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,15 +162,35 @@ def _pieces(seg: DataFrame, finest_m: float) -> DataFrame:
             n = np.maximum(1, np.ceil(part / (finest_m * 4.0**level))).astype(np.int64)
             row = np.repeat(np.arange(len(b)), n)
             k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            for s in range(0, len(row), 50_000):
-                r, i = row[s : s + 50_000], k[s : s + 50_000]
-                ends = [b.column(c).to_numpy()[r] for c in ("ax", "ay", "bx", "by")]
-                px, py = g.interpolate(*ends, i / n[r])
-                qx, qy = g.interpolate(*ends, (i + 1) / n[r])
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(r)) for c in b.schema.names), *map(pa.array, (level[r], px, py, qx, qy))], names=[*b.schema.names, "level", "px", "py", "qx", "qy"])
-
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seg.schema)
-    return seg.mapInArrow(run, columns + ", level int, px double, py double, qx double, qy double")
+            yield from _placed(b, row, k / n[row], (k + 1) / n[row], level[row])
+
+    return seg.mapInArrow(run, _piece_columns(seg))
+
+
+def _halves(pieces: DataFrame) -> DataFrame:
+    """Every piece cut in four, one level down."""
+    plain = [f.name for f in pieces.schema if f.name not in (*_PLACED, "level")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, k = np.repeat(np.arange(len(b)), 4), np.tile(np.arange(4), len(b))
+            a, z = b.column("f0").to_numpy()[row], b.column("f1").to_numpy()[row]
+            yield from _placed(b.select(plain), row, a + (z - a) * k / 4, a + (z - a) * (k + 1) / 4, (b.column("level").to_numpy() - 1)[row])
+
+    return pieces.mapInArrow(run, _piece_columns(pieces.select(*plain)))
+
+
+def _piece_columns(seg: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seg.schema) + ", level int, " + ", ".join(f"{c} double" for c in _PLACED)
+
+
+def _placed(b: pa.RecordBatch, row: np.ndarray, f0: np.ndarray, f1: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(row), 50_000):
+        e = slice(s, s + 50_000)
+        ends = [b.column(c).to_numpy()[row[e]] for c in ("ax", "ay", "bx", "by")]
+        p, q = g.interpolate(*ends, f0[e]), g.interpolate(*ends, f1[e])
+        made = map(pa.array, (level[e].astype(np.int32), f0[e], f1[e], *p, *q))
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row[e])) for c in b.schema.names), *made], names=[*b.schema.names, "level", *_PLACED])
 
 
 def road_points(hits: DataFrame, roads: DataFrame) -> DataFrame:
