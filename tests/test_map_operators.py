@@ -447,3 +447,21 @@ def test_forms(spark):
     u = spark.createDataFrame([("a", 1, '[{"edge":1,"frac":0.5,"prob":0.995},{"edge":2,"frac":0.5,"prob":0.005}]')], "id string, time_ms long, candidates string")
     r = tracker.visible_candidates(u).collect()
     assert [(x.edge, round(x.opacity, 6)) for x in r] == [(1, round(math.log10(9 * 0.995 + 1), 6))]
+
+
+def test_registered_matching_uses_the_defaults(spark, monkeypatch):
+    from wayline.plans import map_queries
+
+    base, roads = fixture_map(spark)
+    monkeypatch.setattr(map_queries, "_base", lambda s, d: base)
+    monkeypatch.setattr(map_queries, "_places", lambda s, d: s.createDataFrame([(1, 11.001, 48.001)], "key long, lon double, lat double"))  # 111 m from a road
+    rows = [("a", 60_000 * i, x, y, None) for i, (x, y) in enumerate(trace())]
+    monkeypatch.setattr(map_queries, "_traces", lambda s, d: s.createDataFrame(rows, "id string, time_ms long, lon double, lat double, azimuth double"))
+    assert {r.edge for r in map_queries.mm_candidates(spark, "").collect()} == {0, 1} == {r.edge for r in map_queries.mm_minset(spark, "").collect()}
+    assert map_queries.mm_match(spark, "").count() == 4
+
+
+def test_filter_of_vanishing_probabilities():
+    # two far candidates reached over very unlikely ways: their products are below the least double, their ratio is not
+    out = step([State((0,), 1.0, 0.0)], [((1,), 1e-200), ((2,), 3e-200)], {(0, 0): (1e-200, None), (0, 1): (1e-200, None)})
+    assert [s.filtprob for s in out] == pytest.approx([0.25, 0.75]) and all(s.pred is not None for s in out)

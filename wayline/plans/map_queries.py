@@ -20,8 +20,8 @@ from wayline.sources import samples as smp
 from wayline.streaming import tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Radius of candidates in the queries: the test map has two dozen roads within 30 m of a place.
-PARAMS = matcher.Parameters(sigma=5.0, radius=15.0, distance=3000.0)
+#: The operator's own defaults: every road within 200 m is a candidate, and routes go up to 15 km.
+PARAMS = matcher.Parameters()
 BOX = [(9.3, 51.2), (9.5, 51.2), (9.5, 51.32), (9.3, 51.32)]
 
 
