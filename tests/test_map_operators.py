@@ -465,3 +465,26 @@ def test_filter_of_vanishing_probabilities():
     # two far candidates reached over very unlikely ways: their products are below the least double, their ratio is not
     out = step([State((0,), 1.0, 0.0)], [((1,), 1e-200), ((2,), 3e-200)], {(0, 0): (1e-200, None), (0, 1): (1e-200, None)})
     assert [s.filtprob for s in out] == pytest.approx([0.25, 0.75]) and all(s.pred is not None for s in out)
+
+
+def test_filter_steps_of_whole_ways(spark, monkeypatch):
+    from wayline.plans import map_queries
+
+    nodes = {1: [3, 4, 17, 6, 7, 34, 51, 9], 2: [8], 3: [2, 5, 5, 18]}
+    rows = [(w, i, n) for w, v in nodes.items() for i, n in enumerate(v)]
+    monkeypatch.setattr(map_queries, "table", lambda s, d, t: s.createDataFrame(rows, "way_id long, sequence_id int, node_id long"))
+    want, e = {}, lambda n, j: (0.7, 0.3)[j] if n % 2 else (0.2, 0.8)[j]
+    for w, v in nodes.items():
+        f, q = [], []
+        for k, n in enumerate(v, 1):
+            m = [[0.9 if i == j else 0.1 for j in range(2)] for i in range(2)]
+            new = k == 1 or n % 17 == 0
+            g_ = [e(n, j) * (1 if new else sum(m[i][j] * f[i] for i in range(2))) for j in range(2)]
+            r = [math.log10(e(n, j)) + (0 if new else max(q[i] + math.log10(m[i][j]) for i in range(2))) for j in range(2)]
+            f, q = [x / sum(g_) for x in g_], r
+            want |= {(w, k, j): (f[j], q[j], new) for j in range(2) if k > 1}
+    got = [*map_queries.QUERIES["hmm_step_all"](spark, "").collect(), *map_queries.QUERIES["hmm_break_all"](spark, "").collect()]
+    assert len(got) == len(want) == 20 and sum(r.fresh for r in got) == 6
+    for r in got:
+        f, q, new = want[r.key, r.k, r.j]
+        assert abs(r.filtprob - f * 1e9) < 2 and abs(r.seqprob - q * 1e9) < 2 and r.fresh == new and (r.pred == -1) == new

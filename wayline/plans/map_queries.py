@@ -365,6 +365,41 @@ def hmm_break(s: SparkSession, d: str) -> DataFrame:
     return _second(s, d).where("fresh")
 
 
+def _chain(pdf):
+    """Vectors of one way, all positions: the kernel of the filter over the chain of ``_hmm``."""
+    import pandas as pd
+
+    last, rows = [], []
+    for k, node in enumerate(pdf.sort_values("sequence_id")["node_id"], 1):
+        e = [0.7, 0.3] if node % 2 else [0.2, 0.8]
+        ways = {} if node % 17 == 0 else {(a, b): (0.9 if last[a].what[0] == b else 0.1, None) for a in range(len(last)) for b in range(2)}
+        last = step(last, [((b,), e[b]) for b in range(2)], ways)
+        rows += [(pdf["way_id"].iloc[0], k, node, x.what[0], e[x.what[0]], x.filtprob, x.seqprob) for x in last]
+    return pd.DataFrame(rows, columns=["way_id", "k", "node_id", "j", "emission", "filtprob", "seqprob"])
+
+
+def _all_steps(s: SparkSession, d: str) -> DataFrame:
+    """The filter step as joins on every node of every way but its first, before it the kernel's vector of the node before: (key, k, j, ...)."""
+    v = cut(osm.steps(table(s, d, "way_nodes")).groupBy("way_id").applyInPandas(_chain, "way_id long, k int, node_id long, j int, emission double, filtprob double, seqprob double"))
+    at = lambda k: F.struct(F.col("way_id").alias("way"), k.alias("k")).alias("key")
+    before = v.select(at(F.col("k") + 1), F.col("j").alias("i"), "filtprob", "seqprob")
+    now = v.where("k > 1").select(at(F.col("k")), "j", "emission")
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(0.9 if a == b else 0.1).alias("p")) for a in range(2) for b in range(2)))).alias("t")
+    ways = v.where("k > 1 and j = 0 and node_id % 17 <> 0").select(at(F.col("k")), pairs).select("key", "t.i", "t.j", "t.p")
+    x = _nano(filtering.filter_step(before, now, ways))
+    return x.select(F.col("key.way").alias("key"), "key.k", "j", "filtprob", "seqprob", "pred", "fresh")
+
+
+def hmm_step_all(s: SparkSession, d: str) -> DataFrame:
+    """``hmm_step`` at every node of a way, k its position; ``hmm_step`` itself is the second node, as its SQL says."""
+    return _all_steps(s, d).where("not fresh")
+
+
+def hmm_break_all(s: SparkSession, d: str) -> DataFrame:
+    """``hmm_break`` at every node of a way, k its position; ``hmm_break`` itself is the second node, as its SQL says."""
+    return _all_steps(s, d).where("fresh")
+
+
 def hmm_viterbi(s: SparkSession, d: str) -> DataFrame:
     return osm.steps(table(s, d, "way_nodes")).groupBy("way_id").applyInPandas(lambda p: _hmm(p), _HMM)
 
@@ -453,7 +488,7 @@ QUERIES: dict[str, Query] = {
         mm_match, src_road_types, src_road_scan_filtered, src_samples_json, snk_last_value, imp_way_nodes_join, imp_node_counts, imp_way_aggs, imp_oneway, imp_maxspeed, imp_segments,
         geo_distance, geo_length, geo_heading_diff, geo_wkt, geo_in_polygon, geo_intercept, geo_interpolate, geo_azimuth, geo_envelope, geo_intersect, idx_radius, idx_nearest, idx_knearest,
         idx_roadpoints, map_split, graph_successors, graph_components, cost_time_priority, route_cost, path_valid, route_concat, route_shortest, route_bounded, route_msmt, mm_candidates, mm_minset,
-        mm_emission, mm_bound, mm_transition, mm_thin, mm_slim_json, mm_geojson, mm_osm_ways, hmm_initial, hmm_step, hmm_break, hmm_viterbi, kstate_k, kstate_t, ev_subsample, ev_sequence, ev_align, cl_1d, cl_cyclic, cl_bounds,
+        mm_emission, mm_bound, mm_transition, mm_thin, mm_slim_json, mm_geojson, mm_osm_ways, hmm_initial, hmm_step, hmm_break, hmm_step_all, hmm_break_all, hmm_viterbi, kstate_k, kstate_t, ev_subsample, ev_sequence, ev_align, cl_1d, cl_cyclic, cl_bounds,
         cl_density_function, cl_dbscan, st_latest_state, st_late_flags, st_thin, st_sessions_by_ttl,
     )
 }
