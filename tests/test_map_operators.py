@@ -488,3 +488,24 @@ def test_filter_steps_of_whole_ways(spark, monkeypatch):
     for r in got:
         f, q, new = want[r.key, r.k, r.j]
         assert abs(r.filtprob - f * 1e9) < 2 and abs(r.seqprob - q * 1e9) < 2 and r.fresh == new and (r.pred == -1) == new
+
+
+def test_pairs_hold_long_segments(spark, monkeypatch):
+    from wayline.plans import map_queries
+
+    ends = [((11.0, 48.0), (11.01, 48.01)), ((11.0, 48.0), (13.0, 49.0)), ((179.9, 10.0), (-179.9, 10.1)), ((5.0, 5.0), (5.0, 5.0)), ((0.0, 10.0), (179.99, -10.0))]
+    rows = [(i, 10 + i, 20 + i, i, False, 0, 1.0, 100.0, 100.0, 1.0, [{"lon": x, "lat": y} for x, y in p]) for i, p in enumerate(ends)]
+    nodes = [(10 + i, *p[0]) for i, p in enumerate(ends)]
+    monkeypatch.setattr(map_queries, "_base", lambda s, d: s.createDataFrame(rows, src.BASE_ROAD))
+    monkeypatch.setattr(map_queries, "table", lambda s, d, t: None)
+    monkeypatch.setattr(map_queries, "current_nodes", lambda t: spark.createDataFrame(nodes, "key long, lon double, lat double"))
+    got = {q: {r.road: r for r in map_queries.QUERIES[q](spark, "").collect()} for q in ("geo_intercept", "geo_interpolate", "geo_azimuth", "geo_intersect")}
+    assert all(set(v) == {0, 1, 2} for v in got.values())
+    for i in (0, 1, 2):
+        (ax, ay), (bx, by) = ends[i]
+        p = got["geo_interpolate"][i]
+        assert float(g.distance(ax, ay, p.lon, p.lat)) == pytest.approx(float(g.distance(ax, ay, bx, by)) / 4) and abs(got["geo_intercept"][i].frac) < 1e-6
+        x = got["geo_intersect"][i]
+        for a, b in (((ax, ay), (bx, by)), ((ax, by), (bx, ay))):  # the crossing lies on both diagonals
+            assert abs(float(g.distance(*a, x.lon, x.lat)) + float(g.distance(x.lon, x.lat, *b)) - float(g.distance(*a, *b))) < 1e-3
+    assert got["geo_azimuth"][2].azimuth == pytest.approx(63.2, abs=0.1)  # east over the 180th meridian

@@ -141,9 +141,9 @@ def geo_in_polygon(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    """Ends of the map's short segments, with a node as third point."""
+    """Ends of the map's segments, with a node as third point; without those of no length and the nearly antipodal (over 19 900 km)."""
     n = current_nodes(table(s, d, "nodes")).select(F.col("key").alias("source"), F.col("lon").alias("cx"), F.col("lat").alias("cy"))
-    seg = search.road_segments(_base(s, d)).where("abs(ax - bx) < 0.1 and abs(ay - by) < 0.1 and (ax <> bx or ay <> by)")
+    seg = search.road_segments(_base(s, d)).where("ax <> bx or ay <> by").where(haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) < 1.99e7)
     return seg.join(_base(s, d).select(F.col("id").alias("road"), "source"), "road").join(n, "source")
 
 
