@@ -509,3 +509,16 @@ def test_pairs_hold_long_segments(spark, monkeypatch):
         for a, b in (((ax, ay), (bx, by)), ((ax, by), (bx, ay))):  # the crossing lies on both diagonals
             assert abs(float(g.distance(*a, x.lon, x.lat)) + float(g.distance(x.lon, x.lat, *b)) - float(g.distance(*a, *b))) < 1e-3
     assert got["geo_azimuth"][2].azimuth == pytest.approx(63.2, abs=0.1)  # east over the 180th meridian
+
+
+def test_local_network_holds_long_candidates(spark, monkeypatch):
+    ends = [((11.0, 48.0), (11.6, 48.0)), ((11.6, 48.0), (11.61, 48.0)), ((12.5, 48.0), (12.51, 48.0))]
+    rows = [(i, 2 * i if i == 2 else i, 2 * i + 1 if i == 2 else i + 1, i, False, 0, 1.0, 100.0, 100.0, float(g.distance(*p[0], *p[1])), [{"lon": x, "lat": y} for x, y in p]) for i, p in enumerate(ends)]
+    base = spark.createDataFrame(rows, src.BASE_ROAD)
+    roads = roadmap.split_roads(base)
+    df = spark.createDataFrame([("a", 60_000 * i, 11.3 + 0.001 * i, 48.0006, None) for i in range(3)], "id string, time_ms long, lon double, lat double, azimuth double")
+    p = matcher.Parameters(distance=3000.0)
+    found = lambda: [(r.edge, round(r.frac, 9), round(r.filtprob, 9), r.route) for r in matcher.match(df, base, roads, p).orderBy("time_ms").collect()]
+    whole = found()
+    monkeypatch.setattr(routing, "BROADCAST_ROADS", 3)
+    assert len(whole) == 3 and found() == whole
