@@ -1,4 +1,4 @@
-"""The p-queries of the core: trips, timestamps, runs, references, proximity, sessions."""
+"""The p-queries of the core: trips, timestamps, references, proximity, sessions."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from wayline.functions.geometry import point
 from wayline.operators.activity import sessions
 from wayline.operators.proximity import near_points, zones_around
 from wayline.operators.references import orphan_references, orphan_report
-from wayline.operators.runs import position_runs
 from wayline.operators.timestamps import normalise_messages, normalise_sequences
 from wayline.operators.trips import stops_and_trips
 
@@ -41,17 +40,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_normalised(spark, d).where("utc_us is not null")
 
 
-def p3_events(spark: SparkSession, d: str) -> DataFrame:
-    """Runs as single events, with durations from the normalised times."""
-    traces = table(spark, d, "x0001_015")
-    times = normalise_sequences(traces, table(spark, d, "devices")).select("row_no", "utc_us")
-    return position_runs(traces.join(times, "row_no"), time_us_col="utc_us").select("id", "first_seq", "last_seq", "n_events", "start_us", "end_us", "duration_us")
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return position_runs(table(spark, d, "x0001_015")).select("id", "first_seq", "last_seq")
-
-
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(table(spark, d, "way_nodes"), table(spark, d, "nodes"), table(spark, d, "ways"))
 
@@ -103,8 +91,6 @@ QUERIES: dict[str, Query] = {
     "p1_trips": p1_trips,
     "p2_found": p2_found,
     "p2_normalised": p2_normalised,
-    "p3_found": p3_found,
-    "p3_events": p3_events,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p5_found": p5_found,
@@ -135,18 +121,7 @@ g as (select *, sum(s) over (partition by id order by time) as k from f)
 _NUM = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 #: DuckDB: lon and lat of the WKT spellings
 _XY = rf"regexp_extract(geom, '^\s*(?:SRID=\d+;)?(?i:POINT)\s*(?:Z|M|ZM)?\s*\(\s*({_NUM})\s+({_NUM})[^)]*\)\s*$', ['x', 'y'])"
-_RUNS = f"""
-with p as (select id, seq, {_XY} as g from x0001_015 where id is not null and seq is not null),
-q as (select id, seq, try_cast(g.x as double) as x, try_cast(g.y as double) as y from p),
-one as (select id, seq, min(struct_pack(x := ((x + 180) % 360 + 360) % 360 - 180, y := y)) filter (where x is not null and y between -90 and 90) as p from q group by id, seq),
-l as (select *, lag(p) over (partition by id order by seq) as o from one),
-f as (select *, case when p is null or o is null then 1 when 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(p.y - o.y) / 2), 2)
-  + cos(radians(p.y)) * cos(radians(o.y)) * pow(sin(radians(p.x - o.x) / 2), 2)))) <= 3 then 0 else 1 end as s from l),
-k as (select *, sum(s) over (partition by id order by seq) as run from f)
-select id, min(seq)::bigint as first_seq, max(seq)::bigint as last_seq from k group by id, run having count(*) > 1
-"""
 SQL: dict[str, str] = {
-    "p3_found": _RUNS,
     "p4_found": _ORPHANS + "select distinct ref_table, way_id, sequence_id from misses",
     "p4_report": _ORPHANS + "select ref_table, strftime(date_trunc('month', tstamp), '%Y-%m-%d') as period, reason, count(*) as n_refs from misses group by all",
     "p6_found": _SESSIONS + "select id, epoch_ms(min(time)) as start_ms, epoch_ms(max(time)) as end_ms from g group by id, k",
