@@ -252,3 +252,89 @@ def test_trips_across_chunks_against_plain_search(spark):
     d = [r.distance_m for r in stops_and_trips(df).where("kind = 'trip'").collect()]
     assert len(d) == 1 and abs(d[0] - 9150) < 300
     assert stops_and_trips(df.limit(0)).count() == 0
+
+
+def _plain_stops(t, lon, lat, silence_us=21_600_000_000, wild=80.0):
+    """Exhaustive search: all pings but the wild, cut at silences; of all stretches the longest first."""
+    step, dt_s = metres(lon[:-1], lat[:-1], lon[1:], lat[1:]), np.diff(t) / 1e6
+    fast = step > wild * dt_s
+    ok = ~(np.r_[False, fast] & np.r_[fast, False])
+    t, lon, lat = t[ok], lon[ok], lat[ok]
+    out = []
+    for part in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t) > silence_us) + 1):
+        px, py = lon[part], lat[part]
+        fits = lambda i, j: smallest_circle(*plane(px[i : j + 1], py[i : j + 1], px[i], py[i]))[2] <= 50.0 + 1e-6  # noqa: B023, E731
+        spans, todo = [], [(0, len(part) - 1)]
+        while todo:
+            lo, hi = todo.pop()
+            best, j = None, lo
+            for i in range(lo, hi + 1):
+                j = max(i, j)
+                while j < hi and fits(i, j + 1):
+                    j += 1
+                d = t[part[j]] - t[part[i]]
+                if d >= 300_000_000 and (best is None or d > best[0]):
+                    best = d, i, j
+            if best:
+                spans.append(best[1:])
+                todo += [(lo, best[1] - 1), (best[2] + 1, hi)]
+        out += [(int(t[part[i]] // 1000), int(t[part[j]] // 1000), j - i + 1) for i, j in spans]
+    return sorted(out)
+
+
+def _random_drive(rng):
+    """Stays, slow walks, drives and silences of any length, with noise, wild fixes and chunk rims in between."""
+    t, x, y, rows = float(rng.integers(0, 80_000)), 0.0, 0.0, []
+    for _ in range(int(rng.integers(3, 9))):
+        kind, every = rng.integers(5), float(rng.choice([5, 30, 300, 1500]))
+        n = int(rng.integers(2, 60))
+        speed = {0: 0.0, 1: 0.0, 2: 0.15, 3: 1.2, 4: 15.0}[int(kind)]
+        noise = float(rng.choice([0, 4, 20, 35]))
+        turn = rng.uniform(0, 2 * np.pi)
+        for _ in range(n):
+            t += every * float(rng.uniform(0.5, 1.5))
+            x, y = x + speed * every * np.cos(turn), y + speed * every * np.sin(turn)
+            far = 1e6 if rng.random() < 0.02 else 0.0
+            rows.append((int(t * 1e6), x + rng.normal(0, noise) + far, y + rng.normal(0, noise)))
+        t += float(rng.choice([0, 600, 4 * 3600, 8 * 3600]))
+    r = np.array(rows)
+    return r[:, 0].astype(np.int64) + ms(0) * 1000, 10 + np.degrees(r[:, 1] / 6371008.8 / np.cos(np.radians(48))), 48 + np.degrees(r[:, 2] / 6371008.8)
+
+
+def test_no_stop_is_lost(spark):
+    rng = np.random.default_rng(9)
+    drives = {f"r{k}": _random_drive(rng) for k in range(200)}
+    deg = lambda m: m / 6371008.8 / np.pi * 180 / np.cos(np.radians(48))
+
+    def between(times, places):
+        """A drive, pings in two places, a drive."""
+        t = np.array([*range(-300, 0, 10), *times, *range(int(times[-1]) + 10, int(times[-1]) + 310, 10)], float)
+        d = np.array([*range(-6000, 0, 200), *places, *range(200 + 90, 6290, 200)], float)
+        return (t * 1e6).astype(np.int64) + ms(40_000) * 1000, 10 + deg(d), np.full(len(t), 48.0)
+
+    drives |= {"two": between([0, 3600], [0, 90]), "three": between([0, 1200, 2400], [0, 90, 0]), "flip": between([30 * k for k in range(40)], [90 * (k % 2) for k in range(40)]), "near": between([0, 600], [0, 40])}
+    park = np.arange(4320) * 60_000_000 + ms(0) * 1000
+    drives["park"] = park, 10 + deg(rng.normal(0, 4, 4320)), 48 + rng.normal(0, 4, 4320) / 111195.08
+    # left for good at a chunk's rim, with pings just inside and outside the circle
+    edge = np.r_[np.arange(0, 86_000, 600), np.arange(86_100, 87_000, 30)] * 1_000_000 + ms(0) * 1000
+    drives["edge"] = edge, 10 + deg(np.r_[np.zeros(144), np.arange(30) * 12.0]), np.full(174, 48.0)
+    rows = [(k, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(t)), f"POINT({x:.9f} {y:.9f})") for k, d in drives.items() for t, x, y in zip(*d, strict=True)]
+    got: dict = {}
+    for r in stops_and_trips(spark.createDataFrame(rows, "id string, time timestamp, point string")).where("kind = 'stop'").collect():
+        got.setdefault(r.id, []).append((r.start_ms, r.end_ms, r.n_pings))
+    for k, d in drives.items():
+        x, y = (np.array([float(f"{v:.9f}") for v in c]) for c in d[1:])
+        assert sorted(got.get(k, [])) == _plain_stops(d[0], x, y), k
+    assert got["park"] == [(ms(0), ms(4319 * 60), 4320)] and all(len(got[k]) >= 1 for k in ("two", "three", "flip", "near"))
+
+
+def test_records_hold_every_hull():
+    from wayline.functions.motion import records
+
+    rng = np.random.default_rng(4)
+    for p in (rng.normal(0, 5, (500, 2)), np.round(rng.normal(0, 1, (400, 2))), np.column_stack([rng.integers(0, 5, 300), np.zeros(300)]).astype(float)):
+        k = records(p[:, 0], p[:, 1])
+        assert len(k) < len(p) / 3
+        for m in (1, 2, 7, 50, 299):
+            mine = k[k < m]
+            assert abs(smallest_circle(p[:m, 0], p[:m, 1])[2] - smallest_circle(p[mine, 0], p[mine, 1])[2]) < 1e-6

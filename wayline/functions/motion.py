@@ -178,6 +178,62 @@ def smallest_circle(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return cx, cy, r
 
 
+def _hull(p: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull, anticlockwise."""
+    p = sorted(set(p))
+    if len(p) < 3:
+        return p
+    out: list[list[tuple[float, float]]] = []
+    for row in (p, p[::-1]):
+        h: list[tuple[float, float]] = []
+        for q in row:
+            while len(h) >= 2 and (h[-1][0] - h[-2][0]) * (q[1] - h[-2][1]) - (h[-1][1] - h[-2][1]) * (q[0] - h[-2][0]) <= 0:
+                h.pop()
+            h.append(q)
+        out.append(h[:-1])
+    return out[0] + out[1]
+
+
+def records(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positions of the points that lie outside the convex hull of all points before them, and the last point.
+
+    The hull of any first k points is the hull of the records among them.
+    """
+    found, hull, at, n = [0], [(float(x[0]), float(y[0]))], 1, len(x)
+    while at < n:
+        wide = 64
+        if len(hull) < 3:
+            (ax, ay), (bx, by) = hull[0], hull[-1]
+            px, py = x[at : at + wide], y[at : at + wide]
+            between = ((px - ax) * (px - bx) <= 0) & ((py - ay) * (py - by) <= 0)
+            out = ~between | ((bx - ax) * (py - ay) != (by - ay) * (px - ax))
+            k = int(np.argmax(out)) if out.any() else -1
+        else:
+            hx, hy = np.array(hull).T
+            ex, ey = np.roll(hx, -1) - hx, np.roll(hy, -1) - hy
+            k = -1
+            while at < n:
+                px, py = x[at : at + wide, None], y[at : at + wide, None]
+                out = (ex * (py - hy) - ey * (px - hx) < 0).any(axis=1)
+                if out.any():
+                    k = int(np.argmax(out))
+                    break
+                at += len(out)
+                wide = min(4 * wide, 65_536)
+        if k < 0:
+            if len(hull) < 3:
+                at += len(out)
+                continue
+            break
+        at += k
+        found.append(at)
+        hull = _hull([*hull, (float(x[at]), float(y[at]))])
+        at += 1
+    if found[-1] != n - 1:
+        found.append(n - 1)
+    return np.array(found)
+
+
 def longest_stays(t: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, shortest: int, ends_too: bool = False) -> list[tuple[int, int]]:
     """Stretches [i, j] of pings that fit a circle of ``radius``, as long as possible, disjoint, the longest first.
 
