@@ -136,3 +136,52 @@ def test_limits_separate_bands():
     low, high = reading.learn_limits(rows)["en"]
     assert 12 < low < 16 and 20 < high < 24
     assert reading.learn_limits(rows[:5])["en"] == reading.DEFAULT_LIMITS
+
+
+def test_hyphenation():
+    for word, lang, want in (
+        ("banana", "en", "ba-na-na"), ("children", "en", "chil-dren"), ("nation", "en", "na-tion"), ("make", "en", "make"), ("matches", "en", "mat-ches"), ("verwaltung", "de", "ver-wal-tung"),
+        ("nation", "de", "na-ti-on"), ("kirsche", "de", "kir-sche"), ("maison", "fr", "mai-son"), ("petite", "fr", "pe-tite"), ("pss", "en", "pss"),
+    ):
+        assert "-".join(reading.hyphenate(word, lang)) == want
+
+
+def test_other_languages_are_no_case():
+    other = {
+        "es": "La casa de mi abuelo estaba cerca del río y todos los veranos íbamos a pescar con él. Nunca olvidaré aquellas tardes tranquilas.",
+        "it": "Ieri siamo andati al mercato per comprare il pane e le mele. La nonna ci aspettava sulla porta di casa con il gatto.",
+        "nl": "Gisteren zijn wij naar de markt gegaan om brood en appels te kopen. Grootmoeder wachtte op ons voor het huis met de hond.",
+        "pl": "Wczoraj poszliśmy na rynek kupić chleb i jabłka. Babcia czekała na nas przed domem z psem i kotem.",
+    }
+    for text in other.values():
+        assert reading.language(reading.WORD.findall(text.lower())) is None
+    assert reading.language(reading.WORD.findall("Yesterday we went to the market to buy bread and apples. Grandmother waited for us at the door.".lower())) == "en"
+
+
+def test_one_long_line_costs_linear_time():
+    import time
+
+    for line in ("(1" * 2_500_000, "word " * 1_000_000, EASY * 25_000, "文" * 1_700_000, "a(" * 2_500_000, "http://x" * 600_000):
+        t = time.perf_counter()
+        reading.article_sentences(line)
+        assert time.perf_counter() - t < 10, line[:9]
+
+
+def test_lines_do_not_matter():
+    # the same article in one long line and in many
+    many = EASY.replace(". ", ".\n")
+    assert reading.article_sentences(many) == reading.article_sentences(EASY)
+    one, split = (reading.grades(reading.article_sentences(t), "en") for t in (HARD, HARD.replace(". ", ".\n\n")))
+    assert one == split
+
+
+def test_median_of_scaled_estimates_decides():
+    scales = {"en": np.array([[5.0, 10.0]] * 7)}
+    # three estimates say easy, four demanding
+    level = reading.levels(np.array(["en"]), np.array([[1.0, 2.0, 3.0, 11.0, 12.0, 13.0, 14.0]]), scales)
+    assert level[0] == 1.5 + (11.0 - 5.0) / 5.0
+    rng = np.random.default_rng(2)
+    rows = [("en", [float(rng.normal((2 + 4 * b) * (i + 1), 0.5)) for i in range(7)], float(b)) for b in (1, 2, 3) for _ in range(60)]
+    s = reading.learn_scales(rows)
+    got = np.digitize(reading.levels(np.array(["en"] * 180), np.array([r[1] for r in rows]), s), [1.5, 2.5]) + 1
+    assert (got == [r[2] for r in rows]).mean() > 0.99

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 import statistics
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,137 +18,263 @@ from wayline.session import cut
 LANGUAGES = ("en", "de", "fr")
 #: An article has at least so many words in sentences.
 LEAST_WORDS = 60
+#: Sentences count in stretches of lines without other lines between; one of fewer words stands alone, like a notice.
+LEAST_STRETCH = 25
 #: The bands are learnt from at most so many labelled documents.
 LABELLED_DOCS = 20_000
 
-# Frequent small words by language.
-COMMON = {
-    "en": "the and of to a in is that it was for on are as with his they be at one have this from or had by but some what there we can out other were all your when up use how said an each she which do their if will about many then them would so these her him has more two no could than been who now did get may over such not you my he i me our its does whose hence insofar notwithstanding underlying",
-    "de": "der die das und ist in den von zu mit sich des auf für nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wir ich du da mag heute jeden jede dem ihn danach weil obwohl insofern",
-    "fr": "le la les de des du un une et est en que qui dans pour pas sur au aux par il elle on ce se ne plus avec son sa ses mais comme nous vous ils elles ou où être sont avait cette ces tout leur même si quand je tu mon ma mes ton ta chaque notre très il y a c'est d'une d'un l'on qu'il lequel dont",
+# The first articles of the Universal Declaration of Human Rights, from which the letter profiles of the languages come; Spanish, Italian
+# and Dutch stand for neighbours, whose texts are no case.
+PROFILE_TEXTS = {
+    "en": (
+        "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a "
+        "spirit of brotherhood. Everyone is entitled to all the rights and freedoms set forth in this Declaration, without distinction of any kind, such as "
+        "race, colour, sex, language, religion, political or other opinion, national or social origin, property, birth or other status. Furthermore, no "
+        "distinction shall be made on the basis of the political, jurisdictional or international status of the country or territory to which a person belongs, "
+        "whether it be independent, trust, non-self-governing or under any other limitation of sovereignty. Everyone has the right to life, liberty and "
+        "security of person. No one shall be held in slavery or servitude; slavery and the slave trade shall be prohibited in all their forms. No one shall be "
+        "subjected to torture or to cruel, inhuman or degrading treatment or punishment. Everyone has the right to recognition everywhere as a person before "
+        "the law. "
+    ),
+    "de": (
+        "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geiste der "
+        "Brüderlichkeit begegnen. Jeder hat Anspruch auf alle in dieser Erklärung verkündeten Rechte und Freiheiten, ohne irgendeinen Unterschied, etwa nach "
+        "Rasse, Hautfarbe, Geschlecht, Sprache, Religion, politischer oder sonstiger Anschauung, nationaler oder sozialer Herkunft, Vermögen, Geburt oder "
+        "sonstigem Stand. Des weiteren darf kein Unterschied gemacht werden auf Grund der politischen, rechtlichen oder internationalen Stellung des Landes "
+        "oder Gebietes, dem eine Person angehört, gleichgültig ob dieses unabhängig ist, unter Treuhandschaft steht, keine Selbstregierung besitzt oder sonst "
+        "in seiner Souveränität eingeschränkt ist. Jeder hat das Recht auf Leben, Freiheit und Sicherheit der Person. Niemand darf in Sklaverei oder "
+        "Leibeigenschaft gehalten werden; Sklaverei und Sklavenhandel in allen ihren Formen sind verboten. Niemand darf der Folter oder grausamer, "
+        "unmenschlicher oder erniedrigender Behandlung oder Strafe unterworfen werden. Jeder hat das Recht, überall als rechtsfähig anerkannt zu werden. "
+    ),
+    "fr": (
+        "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les "
+        "autres dans un esprit de fraternité. Chacun peut se prévaloir de tous les droits et de toutes les libertés proclamés dans la présente Déclaration, "
+        "sans distinction aucune, notamment de race, de couleur, de sexe, de langue, de religion, d'opinion politique ou de toute autre opinion, d'origine "
+        "nationale ou sociale, de fortune, de naissance ou de toute autre situation. De plus, il ne sera fait aucune distinction fondée sur le statut "
+        "politique, juridique ou international du pays ou du territoire dont une personne est ressortissante, que ce pays ou territoire soit indépendant, sous "
+        "tutelle, non autonome ou soumis à une limitation quelconque de souveraineté. Tout individu a droit à la vie, à la liberté et à la sûreté de sa "
+        "personne. Nul ne sera tenu en esclavage ni en servitude; l'esclavage et la traite des esclaves sont interdits sous toutes leurs formes. Nul ne sera "
+        "soumis à la torture, ni à des peines ou traitements cruels, inhumains ou dégradants. Chacun a le droit à la reconnaissance en tous lieux de sa "
+        "personnalité juridique. "
+    ),
+    "es": (
+        "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente "
+        "los unos con los otros. Toda persona tiene los derechos y libertades proclamados en esta Declaración, sin distinción alguna de raza, color, sexo, "
+        "idioma, religión, opinión política o de cualquier otra índole, origen nacional o social, posición económica, nacimiento o cualquier otra condición. "
+        "Todo individuo tiene derecho a la vida, a la libertad y a la seguridad de su persona. Nadie estará sometido a esclavitud ni a servidumbre; la "
+        "esclavitud y la trata de esclavos están prohibidas en todas sus formas. Nadie será sometido a torturas ni a penas o tratos crueles, inhumanos o "
+        "degradantes. "
+    ),
+    "it": (
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli "
+        "altri in spirito di fratellanza. Ad ogni individuo spettano tutti i diritti e tutte le libertà enunciate nella presente Dichiarazione, senza "
+        "distinzione alcuna, per ragioni di razza, di colore, di sesso, di lingua, di religione, di opinione politica o di altro genere, di origine nazionale o "
+        "sociale, di ricchezza, di nascita o di altra condizione. Ogni individuo ha diritto alla vita, alla libertà ed alla sicurezza della propria persona. "
+        "Nessun individuo potrà essere tenuto in stato di schiavitù o di servitù. Nessun individuo potrà essere sottoposto a tortura o a trattamento o a "
+        "punizioni crudeli, inumani o degradanti. "
+    ),
+    "nl": (
+        "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in "
+        "een geest van broederschap te gedragen. Een ieder heeft aanspraak op alle rechten en vrijheden, in deze Verklaring opgesomd, zonder enig onderscheid "
+        "van welke aard ook, zoals ras, kleur, geslacht, taal, godsdienst, politieke of andere overtuiging, nationale of maatschappelijke afkomst, eigendom, "
+        "geboorte of andere status. Een ieder heeft het recht op leven, vrijheid en onschendbaarheid van zijn persoon. Niemand zal in slavernij of horigheid "
+        "gehouden worden. Niemand zal onderworpen worden aan folteringen, noch aan een wrede, onmenselijke of onterende behandeling of bestraffing. "
+    ),
 }
-COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
-# Word ends and letters that tell the language where small words are rare.
-ENDS = {
-    "en": re.compile(r"(?:tion|tions|ism|ity|ize|izes|ical|ical|ness|ing|ly|metry|ivity|ility|genesis|istic|ates|ous|ed)$"),
-    "de": re.compile(r"(?:ung|ungen|keit|heit|schaft|ismus|ismen|iert|lich|liche|lichen|igen|prozess|tet|ieren|isch|ische|ischen)$|[äöüß]|sch"),
-    "fr": re.compile(r"(?:ement|ements|ité|ités|ique|iques|eux|euse|aux|ée|ées|isme|ismes|ation|ations|elle|oire)$|[éèêàçùâîôû]"),
-}
-#: Marks of notices and footers, in any of the languages.
-NOTICE = re.compile(
-    r"cookie|\bconsent\b|privacy|datenschutz|rights reserved|rechte vorbehalten|droits r\S{1,4}serv|\barchive?s?$|share this page|mirror of|"
-    r"berechtigter interessen|mit der nutzung stimmen|legitimate interest|store and access information|mentions l\S{1,4}gales|impressum|imprint",
-    re.IGNORECASE,
-)
-NOISE = re.compile(r"https?://\S+|\([^()]*\d[^()]*\)")
-SENTENCE = re.compile(r"[^.!?…]+[.!?…]+")
+#: An article's mean log probability of a letter is at least so great in its own language.
+LEAST_FIT = -6.4
+
+URL = re.compile(r"https?://\S+")
+BRACKETS = re.compile(r"\([^()]*\)")
+DIGIT = re.compile(r"\d")
+END = re.compile(r"[.!?…]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
 LATIN = re.compile(r"[A-Za-z]")
-#: Signs of code, tables and chat.
-ODD = re.compile(r"[{}<>=\[\]|\;\t]|[☀-➿⬀-⯿\U0001f000-\U0001faff]")
-
-_GROUPS = {
-    "en": re.compile(r"[aeiouy]+"),
-    "de": re.compile(r"ei|ai|au|eu|äu|ie|aa|ee|oo|[aeiouyäöü]"),
-    "fr": re.compile(r"[aeiouyàâäéèêëîïôöùûüœæ]+"),
+#: Signs of code, tables, rows of links and chat.
+ODD = re.compile(r"[{}<>=\[\]|\\;\t]|[☀-➿⬀-⯿\U0001f000-\U0001faff]")
+
+# Fixed values of the hyphenation rules: letters that are one nucleus together, vowels, and consonants that stay together at the begin of a syllable.
+JOINT = {
+    "en": "eau|(?<=[tsc])i[ao]|ai|ay|au|ea|ee|ei|eu|ey|ie|oa|oe|oi|oo|ou|oy|ue|ui",
+    "de": "aa|ai|au|ay|äu|ee|ei|eu|ey|ie|oo",
+    "fr": "eau|œu|oeu|ai|aî|au|ay|ei|eu|eû|oi|oî|ou|où|oû|oy|ui|io|ie|ia",
 }
+VOWELS = {"en": "aeiouy", "de": "aeiouyäöü", "fr": "aeiouyàâäéèêëîïôöùûüœæ"}
+ONSETS = {
+    "en": "bl br ch cl cr dr fl fr gl gr kn ph pl pr qu sc sch scr sh sk sl sm sn sp spl spr squ st str sw th thr tr tw wh wr",
+    "de": "bl br ch ck dr fl fr gl gn gr kl kn kr pf ph pl pr qu sch schl schm schn schr schw sp spr st str th tr zw",
+    "fr": "bl br ch cl cr dr fl fr gl gn gr gu ph pl pr qu th tr vr",
+}
+#: Endings whose vowel is silent, in words of more than three letters.
+SILENT = {
+    "en": re.compile(r"(?<=[^aeiouyl])e$|(?<=[aeiouy]l)e$|(?<=[^aeiouysxzcgh])es$|(?<=[^aeiouytdl])ed$"),
+    "de": None,
+    "fr": re.compile(r"(?<=[^aeiouyàâäéèêëîïôöùûüœæ])(?:e|es|ent)$(?<!ment)"),
+}
+_NUCLEUS = {k: re.compile(f"{JOINT[k]}|[{VOWELS[k]}]") for k in LANGUAGES}
+_ONSET = {k: frozenset(v.split()) for k, v in ONSETS.items()}
+
+
+def hyphenate(word: str, lang: str) -> list[str]:
+    """Syllables of a lower-case word by hyphenation-style rules; a word without vowels is one.
+
+    Every nucleus (a vowel or vowels that sound together) makes a syllable, but for silent endings. Between two nuclei the break lies before the
+    last consonant, or before the longest group of them that may begin a syllable; vowels that do not sound together are parted.
+    """
+    silent = SILENT[lang].search(word) if SILENT[lang] is not None and len(word) > 3 else None
+    spans = [m.span() for m in _NUCLEUS[lang].finditer(word, 0, silent.start() if silent else len(word))]
+    cuts = [0]
+    for (_, end), (start, _) in zip(spans, spans[1:], strict=False):
+        k = start - 1 if start > end else start
+        for n in (4, 3, 2):
+            if start - n >= end and word[start - n : start] in _ONSET[lang]:
+                k = start - n
+                break
+        cuts.append(k)
+    return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
 
 
 def syllables(word: str, lang: str) -> int:
-    """Syllables of a lower-case word by vowel groups and the language's rules for silent ends; at least 1."""
-    n = len(_GROUPS[lang].findall(word))
-    if lang == "en":
-        if word.endswith("e") and not word.endswith(("le", "ee", "ie", "ye")) and n > 1:
-            n -= 1
-        elif word.endswith("es") and not word.endswith(("ses", "zes", "ces", "ges", "xes", "shes", "ches", "les", "ies", "ees")) and n > 1:
-            n -= 1
-        elif word.endswith("ed") and not word.endswith(("ted", "ded", "led", "ied", "eed")) and n > 1:
-            n -= 1
-        n += len(re.findall(r"i[ao](?!u)|eo|ua(?!l)|[^q]uo", word)) if len(word) > 4 and not word.endswith(("tion", "tions", "cial", "sion", "sions")) else 0
-    elif lang == "fr":
-        if word.endswith(("e", "es", "ent")) and not word.endswith(("ment", "é", "és")) and n > 1:
-            n -= 1
-    return max(1, n)
+    """Number of syllables of a lower-case word; at least 1."""
+    return len(hyphenate(word, lang))
+
+
+def _bracket(m: re.Match) -> str:
+    return " " if DIGIT.search(m.group()) else m.group()
+
+
+def line_sentences(line: str) -> tuple[list[list[str]], bool]:
+    """Ended sentences of a line (lists of lower-case words) and whether the rest after them looks like links. In time linear to the line's length."""
+    if "(" in line:
+        line = BRACKETS.sub(_bracket, line)
+    if "://" in line:
+        line = URL.sub(" ", line)
+    line = line.lower()
+    *parts, rest = END.split(line)
+    word = ASCII_WORD if line.isascii() else WORD
+    out = []
+    for s in parts:
+        words = word.findall(s)
+        if len(words) < 2:
+            continue
+        letters = "".join(words)
+        # mostly letters, mostly Latin ones (garbled accents may be of any script)
+        if len(letters) > 0.6 * (len(s) - s.count(" ")) and (letters.isascii() or len(LATIN.findall(letters)) > 0.6 * len(letters)) and not ODD.search(s):
+            out.append(words)
+    return out, ODD.search(rest) is not None
 
 
 def article_sentences(text: str) -> list[list[str]]:
-    """Sentences (lists of words) of the connected prose of a page: lines with ended sentences that are no menu, notice, code, table or chat."""
+    """Sentences (lists of words) of the connected prose of a page.
+
+    Prose are ended sentences, mostly of letters, without signs of code, tables or chat. They count in stretches: lines that end in links or have
+    no sentence (menus, titles, tables; not empty ones) part the page, and a stretch of fewer than 25 words (a notice, a footer) does not count.
+    """
     out: list[list[str]] = []
-    for line in text.splitlines():
-        line = line.strip()
-        if len(line) < 12:
-            if not line or not (line[-1] in ".!?…"):
-                continue
-        line = NOISE.sub(" ", line)
-        if len(line) < 300 and NOTICE.search(line):
+    stretch: list[list[str]] = []
+    for line in [*text.splitlines(), "."]:
+        if not line or line.isspace():
             continue
-        if len(ODD.findall(line)) > max(0, len(line) // 200):
+        found, links = line_sentences(line)
+        if found and not links:
+            stretch += found
             continue
-        line = line.lower()
-        word = ASCII_WORD if line.isascii() else WORD
-        for s in SENTENCE.findall(line):
-            words = word.findall(s)
-            letters = "".join(words)
-            # mostly letters, mostly Latin ones (garbled accents may be of any script)
-            if len(words) >= 2 and len(letters) > 0.6 * (len(s) - s.count(" ")) and (letters.isascii() or len(LATIN.findall(letters)) > 0.6 * len(letters)):
-                out.append(words)
+        if sum(map(len, stretch)) >= LEAST_STRETCH:
+            out += stretch
+        stretch = []
     return out
 
 
-_SIGNS: dict[str, tuple[float, float, float]] = {}
+def _grams(word: str) -> list[str]:
+    w = f" {word} "
+    return [w[i : i + n] for n in (1, 2, 3) for i in range(n == 1, len(w) - n + (n > 1))]
 
 
-def _signs(word: str) -> tuple[float, float, float]:
-    """How much a word speaks for each language; remembered."""
-    if len(_SIGNS) > 500_000:
-        _SIGNS.clear()
-    s = _SIGNS[word] = tuple(1.0 if word in COMMON[k] else 0.6 if ENDS[k].search(word) else 0.0 for k in LANGUAGES)
-    return s
+class Words:
+    """A growing table of known words: log probability by language profile, letters, and syllables in each language.
 
+    The profiles are counts of one, two and three letters in the profile texts, smoothed.
+    """
 
-def language(words: list[str]) -> str | None:
-    """en, de or fr by shares of small words and typical ends; null if neither is likely."""
-    get = _SIGNS.get
-    signs = [get(w) or _signs(w) for w in words]
-    score = [sum(v) / len(words) for v in zip(*signs, strict=True)]
-    best = max(range(len(LANGUAGES)), key=lambda i: score[i])
-    return LANGUAGES[best] if score[best] >= 0.15 else None
+    SMOOTH, KINDS = 0.3, {1: 40, 2: 900, 3: 9000}
 
+    def __init__(self) -> None:
+        counts = {k: Counter(g for w in WORD.findall(t.lower()) for g in _grams(w)) for k, t in PROFILE_TEXTS.items()}
+        total = {k: {n: sum(c for g, c in v.items() if len(g) == n) for n in self.KINDS} for k, v in counts.items()}
+        log = lambda k, n, c: math.log((c + self.SMOOTH) / (total[k][n] + self.SMOOTH * self.KINDS[n]))
+        self.table = {g: np.array([log(k, len(g), counts[k][g]) for k in counts]) for g in set().union(*counts.values())}
+        self.floor = {n: np.array([log(k, n, 0) for k in counts]) for n in self.KINDS}
+        self.names = list(counts)
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.names) + 1 + len(LANGUAGES)))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Rows of words: a log probability per profile, letters, syllables per language."""
+        if len(self.number) > 500_000:
+            self.number.clear()
+        get = self.number.get
+        ids = [get(w, -1) for w in words]
+        if -1 in ids:
+            for w in words:
+                if w not in self.number:
+                    self._add(w)
+            ids = [self.number[w] for w in words]
+        return self.rows[ids]
+
+    def _add(self, word: str) -> None:
+        n = self.number[word] = len(self.number)
+        if n >= len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        fit = sum(self.table.get(g, self.floor[len(g)]) for g in _grams(word)) / 3
+        self.rows[n] = [*fit, len(word), *(syllables(word, k) for k in LANGUAGES)]
+
+    def language(self, found: np.ndarray) -> str | None:
+        """The language whose profile fits best; null if it is a neighbour's, or fits badly."""
+        m = len(self.names)
+        score = found[:, :m].sum(axis=0) / max(1.0, found[:, m].sum())
+        k = int(score.argmax())
+        return self.names[k] if score[k] >= LEAST_FIT and self.names[k] in LANGUAGES else None
+
+
+_WORDS: Words | None = None
+
+
+def known_words() -> Words:
+    """The process's table of words."""
+    global _WORDS
+    if _WORDS is None:
+        _WORDS = Words()
+    return _WORDS
 
-class Grader:
-    """Grades of articles; remembers the syllables of words."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, dict[str, int]] = {k: {} for k in LANGUAGES}
-
-    def grades(self, sentences: list[list[str]], lang: str) -> list[float]:
-        """Several estimates of the school grade, in one scale."""
-        known = self.known[lang]
-        if len(known) > 500_000:
-            known.clear()
-        words = [w for s in sentences for w in s]
-        n, m = len(words), len(sentences)
-        counts = [known.get(w) or known.setdefault(w, syllables(w, lang)) for w in words]
-        sizes = list(map(len, words))
-        letters, syl = sum(sizes), sum(counts)
-        one = counts.count(1)
-        hard, long6 = len(words) - one - counts.count(2), sum(k > 6 for k in sizes)
-        wps, spw, cpw = n / m, syl / n, letters / n
-        lix = wps + 100 * long6 / n
-        rix = long6 / m
-        smog = 1.043 * (hard * 30 / m) ** 0.5 + 3.1291
-        ari = 4.71 * cpw + 0.5 * wps - 21.43
-        coleman = 5.88 * cpw - 29.6 * m / n - 15.8
-        lix_grade, rix_grade = (lix - 10) / 4.0, 2.0 + 1.6 * rix
-        if lang == "en":
-            return [0.39 * wps + 11.8 * spw - 15.59, 0.4 * (wps + 100 * hard / n), smog, ari, coleman, lix_grade, rix_grade]
-        if lang == "de":
-            vienna = 0.1935 * 100 * hard / n + 0.1672 * wps + 0.1297 * 100 * long6 / n - 0.0327 * 100 * one / n - 0.875
-            amstad = (180 - wps - 58.5 * spw)
-            return [vienna, (100 - amstad) / 6.0, smog - 1.5, ari - 3.0, coleman - 3.0, lix_grade, rix_grade]
-        kandel = 207 - 1.015 * wps - 73.6 * spw
-        return [(100 - kandel) / 6.0, 0.4 * (wps + 100 * hard / n), smog, ari, coleman, lix_grade, rix_grade]
+def language(words: list[str]) -> str | None:
+    """en, de or fr by letter profiles; null for other languages."""
+    w = known_words()
+    return w.language(w.find(words)) if words else None
+
+
+def grades(sentences: list[list[str]], lang: str, found: np.ndarray | None = None) -> list[float]:
+    """Seven classic estimates of the school grade, from lengths of sentences and words and from syllables."""
+    w = known_words()
+    found = w.find([x for s in sentences for x in s]) if found is None else found
+    sizes, counts = found[:, len(w.names)], found[:, len(w.names) + 1 + LANGUAGES.index(lang)]
+    n, m = len(found), len(sentences)
+    letters, syl, one = sizes.sum(), counts.sum(), float((counts == 1).sum())
+    hard, long6 = float((counts >= 3).sum()), float((sizes > 6).sum())
+    wps, spw, cpw = n / m, syl / n, letters / n
+    smog = 1.043 * (hard * 30 / m) ** 0.5 + 3.1291
+    ari = 4.71 * cpw + 0.5 * wps - 21.43
+    coleman = 5.88 * cpw - 29.6 * m / n - 15.8
+    lix, rix = (wps + 100 * long6 / n - 10) / 4.0, 2.0 + 1.6 * long6 / m
+    fog = 0.4 * (wps + 100 * hard / n)
+    if lang == "en":
+        first = 0.39 * wps + 11.8 * spw - 15.59
+    elif lang == "de":
+        first, fog = 0.1935 * 100 * hard / n + 0.1672 * wps + 0.1297 * 100 * long6 / n - 0.0327 * 100 * one / n - 0.875, (wps + 58.5 * spw - 80) / 6.0
+    else:
+        first = (1.015 * wps + 73.6 * spw - 107) / 6.0
+    return [float(x) for x in (first, fog, smog, ari, coleman, lix, rix)]
 
 
 FEATURES = "doc_id long, lang string, n_words long, n_sentences long, grade double, grades array<double>"
@@ -156,11 +284,11 @@ def reading_features(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, n_words, n_sentences, grade, grades) of every document with an article of at least 60 words in a known language.
 
     ``grade`` is the median of the classic formulas of the article's language, over the whole article. Null, empty and blank texts and
-    pages without such an article (tables, code, chat, errors, other scripts) give no row. docs: doc_id, text; other columns are ignored.
+    pages without such an article (tables, code, chat, errors, other scripts and languages) give no row. docs: doc_id, text; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Grader()
+        table = known_words()
         for b in batches:
             rows = []
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -168,10 +296,11 @@ def reading_features(docs: DataFrame) -> DataFrame:
                 words = [w for s in sentences for w in s]
                 if len(words) < LEAST_WORDS:
                     continue
-                lang = language(words)
+                found = table.find(words)
+                lang = table.language(found)
                 if lang:
-                    grades = g.grades(sentences, lang)
-                    rows.append((key, lang, len(words), len(sentences), statistics.median(grades), grades))
+                    g = grades(sentences, lang, found)
+                    rows.append((key, lang, len(words), len(sentences), statistics.median(g), g))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "lang", "n_words", "n_sentences", "grade", "grades"])
@@ -205,71 +334,45 @@ def learn_limits(labelled: list[tuple[str, float, float]], least: int = 30) -> d
     return out
 
 
-def _design(grade: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Median and single estimates, and their squares."""
-    x = np.clip(np.column_stack([grade, grades]), -10, 60) / 10
-    return np.column_stack([np.ones(len(x)), x, x * x])
-
-
-def learn_disputes(grade: np.ndarray, grades: np.ndarray, band: np.ndarray, least: int = 200) -> np.ndarray | None:
-    """Weights of a three-band softmax on the estimates, for articles whose estimates disagree; None with too few labels."""
-    if len(band) < least or len(set(band.tolist())) < 3:
-        return None
-    x = _design(grade, grades)
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-    mean[0], sd[0] = 0.0, 1.0
-    z = (x - mean) / sd
-    y = np.eye(3)[band.astype(int) - 1]
-    w, m, v = np.zeros((z.shape[1], 3)), 0.0, 0.0
-    for k in range(1, 1501):
-        p = z @ w
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = z.T @ (p - y) / len(z) + 1e-4 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    out = w / sd[:, None]
-    out[0] -= (w * (mean / sd)[:, None]).sum(axis=0)
+def learn_scales(rows: list[tuple[str, list[float], float]]) -> dict[str, np.ndarray]:
+    """Two limits for every estimate of a language, from (lang, estimates, band): what brings the estimates to one scale."""
+    out = {}
+    for lang in LANGUAGES:
+        own = [(g, b) for k, g, b in rows if k == lang]
+        n = len(own[0][0]) if own else 7
+        out[lang] = np.array([learn_limits([(lang, g[i], b) for g, b in own])[lang] for i in range(n)])
     return out
 
 
-def assign_bands(lang: np.ndarray, grade: np.ndarray, grades: np.ndarray, limits: dict, weights: dict) -> np.ndarray:
-    """Bands by the limits of the median grade; where the single estimates fall into different bands, by the learnt weights if there are any."""
-    band = np.zeros(len(grade), np.int32)
-    for k, (low, high) in limits.items():
+def levels(lang: np.ndarray, estimates: np.ndarray, scales: dict[str, np.ndarray]) -> np.ndarray:
+    """Median of the estimates of each article, each first brought to the scale on which its language's limits are 1.5 and 2.5."""
+    out = np.zeros(len(lang))
+    for k, s in scales.items():
         i = np.flatnonzero(lang == k)
-        if not len(i):
-            continue
-        band[i] = np.digitize(grade[i], [low, high]) + 1
-        if weights.get(k) is not None:
-            spread = np.digitize(grades[i], [low, high])
-            torn = i[spread.max(axis=1) != spread.min(axis=1)]
-            if len(torn):
-                band[torn] = np.argmax(_design(grade[torn], grades[torn]) @ weights[k], axis=1) + 1
-    return band
+        if len(i):
+            out[i] = np.median(1.5 + (estimates[i] - s[:, 0]) / np.maximum(s[:, 1] - s[:, 0], 1e-9), axis=1)
+    return out
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, max_labelled: int = LABELLED_DOCS) -> DataFrame:
-    """(doc_id, lang, n_words, grade, band) of every document with an article (see ``reading_features``); band 1 easy, 2 ordinary, 3 demanding.
+    """(doc_id, lang, n_words, grade, level, band) of every document with an article (see ``reading_features``); band 1 easy, 2 ordinary, 3 demanding.
 
-    The limits between bands on the median grade are learnt per language from the median label (null bands do not count) of at most
-    ``max_labelled`` labelled documents, chosen by hash; a language with fewer than 30 takes fixed limits. Where the single estimates
-    of an article fall into different bands, a softmax on them, learnt from the same labels (200 at least), decides. Empty labels: fixed limits.
+    The estimates have different scales. Two limits for each, per language, are learnt from the median label (null bands do not count) of at
+    most ``max_labelled`` labelled documents, chosen by hash; a language with fewer than 30 takes fixed limits. They bring the estimates to one
+    scale; ``level`` is their median on it and alone decides the band, which begins at 1.5 and 2.5. ``grade`` is the median before that.
+    Empty labels: fixed limits. Documents that are there twice come out twice.
     """
     features = cut(reading_features(docs))
     votes = labels.where("band between 1 and 3").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.expr("percentile(band, 0.5)").alias("band"))
-    sample = features.join(votes, "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_labelled).select("lang", "grade", "grades", "band").collect()
-    limits = learn_limits([(r["lang"], r["grade"], float(r["band"])) for r in sample])
-    weights = {}
-    for k in LANGUAGES:
-        own = [r for r in sample if r["lang"] == k and r["band"] in (1, 2, 3)]
-        weights[k] = learn_disputes(np.array([r["grade"] for r in own]), np.array([r["grades"] for r in own]), np.array([r["band"] for r in own])) if own else None
+    sample = features.join(votes, "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_labelled).select("lang", "grades", "band").collect()
+    scales = learn_scales([(r["lang"], r["grades"], float(r["band"])) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                grades = b.column("grades").values.to_numpy().reshape(len(b), -1)
-                band = assign_bands(np.array(b.column("lang").to_pylist()), b.column("grade").to_numpy(), grades, limits, weights)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "n_words", "grade")), pa.array(band)], names=["doc_id", "lang", "n_words", "grade", "band"])
+                estimates = b.column("grades").flatten().to_numpy().reshape(len(b), -1)
+                level = levels(np.array(b.column("lang").to_pylist()), estimates, scales)
+                band = (np.digitize(level, [1.5, 2.5]) + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "n_words", "grade")), pa.array(level), pa.array(band)], names=["doc_id", "lang", "n_words", "grade", "level", "band"])
 
-    return features.mapInArrow(run, "doc_id long, lang string, n_words long, grade double, band int")
+    return features.mapInArrow(run, "doc_id long, lang string, n_words long, grade double, level double, band int")
