@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Radius of the sphere on which distances are great-circle metres.
@@ -31,6 +31,18 @@ def point(wkt: Column) -> Column:
     return F.get(made, F.lit(0))
 
 
+def located(df: DataFrame, wkt: str) -> DataFrame:
+    """Adds lon and lat of a column of WKT points; rows without a point (see ``point``) are dropped.
+
+    Generators bind the values in place of lambdas, whose plans are never found alike: so two uses of the result can read one exchange.
+    """
+    bind = lambda x, **c: x.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in c.items())))))
+    x = bind(df, __p=F.split(F.regexp_extract(F.col(wkt), POINT_PATTERN, 1), r"\s+"))
+    x = bind(x, __x=F.get("__p", F.lit(0)).try_cast("double"), __y=F.get("__p", F.lit(1)).try_cast("double"))
+    x = x.where(F.col("__x").isNotNull() & F.col("__y").between(-90.0, 90.0) & (F.abs("__x") < 1e6))
+    return x.select(*(c for c in df.columns), normal_lon(F.col("__x")).alias("lon"), F.col("__y").alias("lat"))
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle metres; longitudes count modulo 360."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.functions.geometry import point
+from wayline.functions.geometry import located
 from wayline.functions.motion import STAY, longest_stays, metres, plane, records, smallest_circle, smooth_and_decode
 from wayline.functions.times import utc_micros
 from wayline.session import cut
@@ -294,10 +294,9 @@ def stops_and_trips(
     gives position and speed and a two-state hidden Markov model decodes staying and moving. Around the decoded stays, and wherever else a
     cheap bound leaves room for a stop, smallest circles fix the exact ends. What a chunk's rim may cut is searched once more over the chunks.
     """
+    named = pings.select(F.col(id_col).cast("string").alias("id"), utc_micros(pings, time_col).alias("t"), F.col(point_col).alias("p")).where("id is not null and t is not null")
     got = (
-        pings.select(F.col(id_col).cast("string").alias("id"), utc_micros(pings, time_col).alias("t"), point(F.col(point_col)).alias("p"))
-        .where("id is not null and t is not null and p is not null")
-        .groupBy("id", "t").agg(F.min("p").alias("p"))
+        located(named, "p").groupBy("id", "t").agg(F.min(F.struct("lon", "lat")).alias("p"))
         .select("id", "t", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
     )
     # the outer explode keeps this branch alike to the one below, so that both read one exchange
