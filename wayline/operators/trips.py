@@ -294,10 +294,11 @@ def stops_and_trips(
     gives position and speed and a two-state hidden Markov model decodes staying and moving. Around the decoded stays, and wherever else a
     cheap bound leaves room for a stop, smallest circles fix the exact ends. What a chunk's rim may cut is searched once more over the chunks.
     """
-    named = pings.select(F.col(id_col).cast("string").alias("id"), utc_micros(pings, time_col).alias("t"), F.col(point_col).alias("p")).where("id is not null and t is not null")
+    # names of its own: the optimizer takes equal ones away in one use and not in the other
+    named = pings.select(F.col(id_col).cast("string").alias("__id"), utc_micros(pings, time_col).alias("__t"), F.col(point_col).alias("__wkt")).where("__id is not null and __t is not null")
     got = (
-        located(named, "p").groupBy("id", "t").agg(F.min(F.struct("lon", "lat")).alias("p"))
-        .select("id", "t", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+        located(named, "__wkt").groupBy("__id", "__t").agg(F.min(F.struct("lon", "lat")).alias("__at"))
+        .select(F.col("__id").alias("id"), F.col("__t").alias("t"), F.col("__at.lon").alias("lon"), F.col("__at.lat").alias("lat"))
     )
     # the outer explode keeps this branch alike to the one below, so that both read one exchange
     home = F.floor(F.col("t") / chunk_us)
