@@ -522,3 +522,18 @@ def test_local_network_holds_long_candidates(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(routing, "BROADCAST_ROADS", 3)
     assert len(whole) == 3 and found() == whole
+
+
+def test_feet_in_the_plane_and_on_the_ellipsoid():
+    rng = np.random.default_rng(6)
+    n = 400
+    cx, cy = rng.uniform(-180, 180, n), rng.uniform(-75, 75, n)
+    off = lambda: g.direct(cx, cy, rng.uniform(0, 360, n), rng.uniform(0, 2900, n))[:2]
+    (ax, ay), (bx, by) = off(), off()
+    f, x, y, d, turn = g.feet(ax, ay, bx, by, cx, cy)
+    want = np.clip(g.intercept(ax, ay, bx, by, cx, cy), 0, 1)
+    wx, wy = g.interpolate(ax, ay, bx, by, want)
+    assert np.abs(d - g.distance(wx, wy, cx, cy)).max() < 1e-3
+    assert (g.distance(x, y, wx, wy) < 0.02).all()
+    bend = np.abs((turn - g.azimuth(ax, ay, bx, by, want) + 180) % 360 - 180)
+    assert bend[g.distance(ax, ay, bx, by) > 1].max() < 1e-3

@@ -66,59 +66,84 @@ def road_segments(base: DataFrame) -> DataFrame:
     return x.select("road", "seg", F.col("s.a.lon").alias("ax"), F.col("s.a.lat").alias("ay"), F.col("s.b.lon").alias("bx"), F.col("s.b.lat").alias("by"))
 
 
-def roads_within(points: DataFrame, base: DataFrame, radius_m: float) -> DataFrame:
+#: Places of one tile that one task is meant to hold.
+TILE_PLACES = 2_000
+
+
+def roads_within(points: DataFrame, base: DataFrame, radius_m: float, rows: int = TILE_PLACES) -> DataFrame:
     """(key, road, frac, distance, lon, lat, azimuth): base roads less than ``radius_m`` (strictly, ellipsoidal) from points (key, lon, lat), with fraction, place and
     forward azimuth of the closest point.
 
     Segments are cut into pieces no longer than a tile, long ones from coarse to fine and only where there are points, and register in the tiles within the
-    radius of the pieces; a plain estimate drops most pairs, and the vectorised kernel computes the foot on each segment, and the first best segment of a road counts.
+    radius of the pieces. A point lies in one tile, so one task sees all its roads: a plain estimate drops most pairs, the foot on each segment left is
+    computed, and the first best segment of a road counts. Tiles with many points are split, with all their pieces. Null positions match nothing.
     """
     finest = max(0.0015, float(np.degrees(radius_m / EARTH_RADIUS_M)) * 2)
-    places = points.where("lon is not null and lat is not null").select("key", "lon", "lat")
+    places = cut(tiles(points.where("lon is not null and lat is not null").select("key", "lon", "lat"), finest))
     seg = cut(_pieces(_measured(road_segments(base)), float(np.radians(finest)) * EARTH_RADIUS_M))
     levels = sorted((r[0] for r in seg.select("level").distinct().collect()), reverse=True)  # at most 9: tiles grow fourfold up to the globe
     key = points.schema["key"].dataType.simpleString()
+    schema = f"key {key}, road long, frac double, distance double, lon double, lat double, azimuth double"
     if not levels:
-        return points.sparkSession.createDataFrame([], f"key {key}, road long, frac double, distance double, lon double, lat double, azimuth double")
+        return points.sparkSession.createDataFrame([], schema)
     # long pieces are refined only where there are points: those in tiles without any are dropped, level by level
     live = None
     for level in range(levels[0], 0, -1):
         own = seg.where(F.col("level") == level)
         live = own if live is None else live.unionByName(own)
         size = finest * 4**level
-        taken = tiles(places, size).select("band", "tile").distinct()
+        taken = tiles(places.select("lon", "lat"), size).select("band", "tile").distinct()
         live = _halves(cut(_in_tiles(live, size, radius_m).join(taken, ["band", "tile"], "left_semi").drop("band", "tile").distinct()))
     last = seg.where("level = 0")
     live = last if live is None else live.unionByName(last)
-    joined = tiles(places, finest).join(_in_tiles(live, finest, radius_m), ["band", "tile"])
-    # a plain estimate first: the distance from the straight piece, less what it may bend
-    k = F.cos(F.radians("lat"))
-    east = lambda a, b: (F.pmod(F.col(a) - F.col(b) + 180.0, F.lit(360.0)) - 180.0) * k
-    x = joined.withColumns({"ux": east("qx", "px"), "uy": F.col("qy") - F.col("py"), "vx": east("lon", "px"), "vy": F.col("lat") - F.col("py")})
-    q = F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy")
-    t = F.when(q > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy")) / q))).otherwise(0.0)
-    off = F.hypot(F.col("vx") - t * F.col("ux"), F.col("vy") - t * F.col("uy")) * 111_320.0
-    bend = q * (111_320.0**2 * 3 / (8 * EARTH_RADIUS_M)) * (1 + F.abs(F.tan(F.radians(F.least(F.lit(85.0), F.abs("lat"))))))
-    pairs = x.where(off < radius_m * 1.02 + 1 + bend).select("key", "lon", "lat", "road", "seg", "ax", "ay", "bx", "by", "offset", "part", "total")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            c = {n: b.column(n).to_numpy() for n in ("lon", "lat", "ax", "ay", "bx", "by", "offset", "part", "total")}
-            f = np.clip(g.intercept(c["ax"], c["ay"], c["bx"], c["by"], c["lon"], c["lat"]), 0, 1)
-            x, y = g.interpolate(c["ax"], c["ay"], c["bx"], c["by"], f)
-            d = g.distance(x, y, c["lon"], c["lat"])
-            hit = d < radius_m
-            at = np.flatnonzero(hit)
-            frac = np.where(c["total"] > 0, (c["offset"] + f * c["part"]) / np.where(c["total"] > 0, c["total"], 1), 0.0)[hit]
-            turn = g.azimuth(c["ax"], c["ay"], c["bx"], c["by"], f)[hit]
-            same = [b.column(n).take(pa.array(at)) for n in ("key", "road", "seg")]
-            yield pa.RecordBatch.from_arrays([*same, *map(pa.array, (frac, d[hit], x[hit], y[hit], turn))], names=["key", "road", "seg", "frac", "distance", "lon", "lat", "azimuth"])
-
-    feet = pairs.mapInArrow(run, f"key {key}, road long, seg int, frac double, distance double, lon double, lat double, azimuth double")
-    best = F.min(F.struct("distance", "seg", "frac", "lon", "lat", "azimuth")).alias("r")
-    return feet.groupBy("key", "road").agg(best).select("key", "road", "r.frac", "r.distance", "r.lon", "r.lat", "r.azimuth")
+    by = ["band", "tile"]
+    parts = places.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    l = places.join(parts, by).withColumn("part_no", F.pmod(F.xxhash64("key", "lon", "lat"), F.col("parts")).cast("int")).drop("parts")
+    pieces = _in_tiles(live, finest, radius_m).select(*by, "road", "seg", "ax", "ay", "bx", "by", "offset", "part", "total", "px", "py", "qx", "qy")
+    r = pieces.join(parts, by).withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    group = [*by, "part_no"]
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        row, seg_row, found = _tile_feet({c: a.column(c).to_numpy() for c in ("lon", "lat")}, {c: b.column(c).to_numpy() for c in b.column_names if c not in group}, radius_m)
+        cols = [a.column("key").take(pa.array(row)), b.column("road").take(pa.array(seg_row)), *map(pa.array, found)]
+        return pa.Table.from_arrays(cols, names=["key", "road", "frac", "distance", "lon", "lat", "azimuth"])
+
+    return l.groupBy(*group).cogroup(r.groupBy(*group)).applyInArrow(kernel, schema)
+
+
+def _tile_feet(p: dict, s: dict, radius_m: float, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows of points and of pieces, and (frac, distance, lon, lat, azimuth), of every point's roads within the radius; one row per point and road."""
+    n, m = len(p["lon"]), len(s["road"])
+    got: list[tuple] = []
+    if not n or not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0)] * 5
+    # pieces of one segment lead to one foot
+    _, seg_no = np.unique(np.column_stack([s["road"], s["seg"].astype(np.int64)]), axis=0, return_inverse=True)
+    seg_no = seg_no.ravel()
+    step = max(1, block // m)
+    for i in range(0, n, step):
+        lon, lat = p["lon"][i : i + step, None], p["lat"][i : i + step, None]
+        # a plain estimate first: the distance from the straight piece, less what it may bend
+        k = np.cos(np.radians(lat))
+        east = lambda a, b: ((a - b + 180.0) % 360.0 - 180.0) * k  # noqa: B023, E731
+        ux, uy, vx, vy = east(s["qx"], s["px"]), (s["qy"] - s["py"])[None, :], east(lon, s["px"]), lat - s["py"]
+        q = ux * ux + uy * uy
+        t = np.where(q > 0, np.clip((ux * vx + uy * vy) / np.where(q > 0, q, 1), 0, 1), 0.0)
+        bend = q * (111_320.0**2 * 3 / (8 * EARTH_RADIUS_M)) * (1 + np.abs(np.tan(np.radians(np.minimum(85.0, np.abs(lat))))))
+        row, at = np.nonzero(np.hypot(vx - t * ux, vy - t * uy) * 111_320.0 < radius_m * 1.02 + 1 + bend)
+        row += i
+        _, one = np.unique(row * np.int64(m) + seg_no[at], return_index=True)
+        row, at = row[one], at[one]
+        f, x, y, d, turn = g.feet(*(s[c][at] for c in ("ax", "ay", "bx", "by")), p["lon"][row], p["lat"][row])
+        total = s["total"][at]
+        frac = np.where(total > 0, (s["offset"][at] + f * s["part"][at]) / np.where(total > 0, total, 1), 0.0)
+        hit = np.flatnonzero(d < radius_m)
+        hit = hit[np.lexsort((s["seg"][at[hit]], d[hit], s["road"][at[hit]], row[hit]))]
+        first = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (s["road"][at[hit]][1:] != s["road"][at[hit]][:-1])] if len(hit) else np.zeros(0, bool)
+        hit = hit[first]
+        got.append((row[hit], at[hit], frac[hit], d[hit], x[hit], y[hit], turn[hit]))
+    row, at, *rest = (np.concatenate(c) for c in zip(*got, strict=True))
+    return row, at, rest
 
 
 def _measured(seg: DataFrame) -> DataFrame:
