@@ -185,3 +185,24 @@ def test_median_of_scaled_estimates_decides():
     s = reading.learn_scales(rows)
     got = np.digitize(reading.levels(np.array(["en"] * 180), np.array([r[1] for r in rows]), s), [1.5, 2.5]) + 1
     assert (got == [r[2] for r in rows]).mean() > 0.99
+
+
+def test_repeated_rows_and_null_keys_of_any_length(spark, enc):
+    long = "wörter und zahlen 123 " * 2000
+    df = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (None, long, "c"), (1, "kurz", "d"), (None, "kurz", None)], "doc_id long, text string, source string")
+    got = sorted((r.source or "", r.doc_id or 0, r.ids) for r in encoding.encode_corpus(df, keep=["source"]).collect())
+    whole, small = enc.encode(long).tolist(), enc.encode("kurz").tolist()
+    assert got == [("", 0, small), ("a", 1, whole), ("b", 1, whole), ("c", 0, whole), ("d", 1, small)]
+
+
+def test_the_queue_is_cut_at_the_budget(spark):
+    sizes, targets = _sizes(spark), spark.createDataFrame(TARGETS, "source string, weight double, max_repeat int")
+    room = {"big": 1, "small": 4, "mid": 3}
+    for budget in (1, 5_000, 60_000, 150_000, 10**7):
+        m = mixing.mix_sources(sizes, targets, budget=budget)[0].toPandas()
+        # plain version: the whole queue, sorted and cut
+        full = mixing.mix_sources(sizes, targets, budget=10**9)[0].toPandas().sort_values(["finish", "source", "doc_id", "copy"])
+        want = full[full["n_tokens"].cumsum() <= budget]
+        key = lambda d: list(zip(d["source"], d["doc_id"], d["copy"]))
+        assert key(m) == key(want)
+        assert all((m[m["source"] == s]["copy"] <= r).all() for s, r in room.items())

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,18 +124,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, piece_chars: int = PIECE_CHARS, keep: list[str] | None = None) -> DataFrame:
     """Token ids of every text, without special tokens: (key, ids array<int>, kept columns), one row per row of ``docs``.
 
-    Null and empty texts have no ids (an empty list); strings of special tokens are ordinary text; a null key stays. Rows of long texts
-    need distinct keys; further columns are dropped unless named in ``keep``. An empty table gives no row.
+    Null and empty texts have no ids (an empty list); strings of special tokens are ordinary text; a null key stays, and repeated rows or keys come
+    out as often as they come in. Further columns are dropped unless named in ``keep``. An empty table gives no row. The session's Arrow batches
+    are limited to BATCH_BYTES, as long texts must not meet in one.
 
     Texts up to ``piece_chars`` are encoded in batches. Longer ones are cut in the places where the splitting pattern always
     cuts, and unsplit stretches longer than a piece into blind parts; the pieces spread over the cluster, are encoded in parallel, and
     meet again by text: cut pieces are strung together, blind parts joined up a tree (``Encoder.join``), with exactly the encoding of the whole.
     """
     path = f"{folder}/{vocabulary}.tiktoken"
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # long texts must not meet in one batch
-    kept = list(keep or [])
-    x = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *kept)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # under names of their own, whatever theirs are
+    names = {f"__kept_{i}": c for i, c in enumerate(keep or [])}
+    kept = list(names)
+    x = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(n) for n, c in names.items()))
     key_type = x.schema["key"].dataType.simpleString()
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in x.schema if f.name in kept)
 
@@ -146,15 +149,19 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
+        row = TaskContext.get().partitionId() << 33  # rows are told apart by their place in the table, not by their key
         for b in batches:
             for i, t in enumerate(b.column("text").to_pylist()):
+                row += 1
                 cut = list(e.cut(t, piece_chars))
                 for s in range(0, len(cut), 512):
                     part = cut[s : s + 512]
                     n = len(part)
+                    # the first piece carries the row's other columns
+                    once = [pa.concat_arrays([b.column(c).slice(i, 1 if s == 0 else 0), pa.nulls(n - (s == 0), b.column(c).type)]) for c in ("key", *kept)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.concat_arrays([b.column("key").slice(i, 1)] * n), pa.array(range(s, s + n), pa.int64()), pa.array([r for r, _ in part], pa.int64()), pa.array([p for _, p in part])],
-                        names=["key", "no", "run", "text"],
+                        [pa.array([row] * n, pa.int64()), pa.array(range(s, s + n), pa.int64()), pa.array([r for r, _ in part], pa.int64()), pa.array([p for _, p in part]), *once],
+                        names=["row", "no", "run", "text", "key", *kept],
                     )
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +169,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
         for b in batches:
             runs, texts = b.column("run").to_pylist(), b.column("text").to_pylist()
             ids = _lists([np.asarray(e.encode_bytes(t.encode()), np.int32) if r else e.encode(t) for r, t in zip(runs, texts, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("no"), b.column("run"), ids], names=["key", "no", "run", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), b.column("run"), ids, *(b.column(c) for c in ("key", *kept))], names=["row", "no", "run", "ids", "key", *kept])
 
     def whole(t: pa.Table) -> pa.Table:
         e = encoder(path)
@@ -180,12 +187,13 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
             if i + 1 == len(runs) or runs[i + 1] != r:
                 out.append(np.asarray(e.join_all(blind), np.int32))
                 blind = []
-        return pa.table([t.column("key").slice(0, 1).combine_chunks(), _lists([np.concatenate(out)])], names=["key", "ids"])
+        first = int(order[0])
+        same = [t.column(c).slice(first, 1).combine_chunks() for c in ("key", *kept)]
+        return pa.table([same[0], _lists([np.concatenate(out)]), *same[1:]], names=["key", "ids", *kept])
 
     few = x.where(F.length("text") <= piece_chars).mapInArrow(short, f"key {key_type}, ids array<int>{kinds}")
     long = x.where(F.length("text") > piece_chars)
-    encoded = long.select("key", "text").mapInArrow(pieces, f"key {key_type}, no long, run long, text string").repartition("key", "no").mapInArrow(parts, f"key {key_type}, no long, run long, ids array<int>")
-    joined = encoded.groupBy("key").applyInArrow(whole, f"key {key_type}, ids array<int>")
-    if kept:
-        joined = joined.join(long.select("key", *kept), "key")
-    return few.unionByName(joined).withColumnRenamed("key", key)
+    schema = f"row long, no long, run long, {{}}, key {key_type}{kinds}"
+    encoded = long.mapInArrow(pieces, schema.format("text string")).repartition("row", "no").mapInArrow(parts, schema.format("ids array<int>"))
+    joined = encoded.groupBy("row").applyInArrow(whole, f"key {key_type}, ids array<int>{kinds}")
+    return few.unionByName(joined).select(F.col("key").alias(key), "ids", *(F.col(n).alias(c) for n, c in names.items()))

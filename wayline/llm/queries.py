@@ -12,6 +12,7 @@ from wayline.llm.mixing import mix_sources
 from wayline.llm.reading import reading_levels
 from wayline.llm.runs import position_runs
 from wayline.operators.timestamps import normalise_sequences
+from wayline.session import cut
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,9 +34,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_table(spark, d, "documents"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(_table(spark, d, "documents"), keep=["source"]).select("doc_id", "source", F.size("ids").alias("n_tokens"))
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sizes = encode_corpus(_table(spark, d, "documents"), keep=["source"]).select("doc_id", "source", F.size("ids").alias("n_tokens"))
-    return mix_sources(sizes, _table(spark, d, "mix_targets"))
+    return mix_sources(_sizes(spark, d), _table(spark, d, "mix_targets"))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +50,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Shares at a budget of all tokens there are, at which small sources repeat up to their caps, run out and fall short."""
+    sizes = cut(_sizes(spark, d))
+    return mix_sources(sizes, _table(spark, d, "mix_targets"), budget=sizes.agg(F.sum("n_tokens")).first()[0] or 0)[1]
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading_levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels"))
 
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_budget": p8_budget,
     "p9_found": p9_found,
     "p9_levels": p9_levels,
 }
