@@ -12,7 +12,7 @@ from wayline.functions.motion import longest_stays, metres, plane, smallest_circ
 from wayline.operators.activity import sessions
 from wayline.operators.proximity import near_points, polygon_edges, zones_around
 from wayline.operators.references import orphan_references, orphan_report
-from wayline.operators.timestamps import normalise_messages, normalise_sequences
+from wayline.operators.timestamps import abbreviation_offsets, normalise_messages, normalise_sequences
 from wayline.operators.trips import stops_and_trips
 
 T0 = dt.datetime(2024, 3, 1)
@@ -338,3 +338,26 @@ def test_records_hold_every_hull():
         for m in (1, 2, 7, 50, 299):
             mine = k[k < m]
             assert abs(smallest_circle(p[:m, 0], p[:m, 1])[2] - smallest_circle(p[mine, 0], p[mine, 1])[2]) < 1e-6
+
+
+def test_abbreviations_mean_what_they_meant_then(spark):
+    uses = {(z, a): u for z, a, u in abbreviation_offsets(["Europe/Moscow", "Europe/Berlin", "no/where"])}
+    assert [o for _, o in uses["Europe/Moscow", "MSK"]][-3:] == [10800, 14400, 10800] and [o for _, o in uses["Europe/Berlin", "CET"]] == [3600]
+    rows = [(1, "m", 1, "2010-01-01 12:00:00 MSK"), (2, "m", 2, "2012-06-01 12:00:00 MSK"), (3, "m", 3, "2015-01-01 12:00:00 MSK"), (4, "b", 1, "2012-06-01 12:00:00 CET"), (5, "b", 2, "2012-06-01 12:00:00 CEST")]
+    df = spark.createDataFrame(rows, "row_no long, id string, seq int, time string")
+    devices = spark.createDataFrame([("m", "Europe/Moscow", "dmy"), ("b", "Europe/Berlin", "dmy")], "id string, zone_name string, date_order string")
+    got = {r.row_no: r.utc_us for r in normalise_sequences(df, devices).collect()}
+    assert got == {1: us("2010-01-01T09:00:00+00:00"), 2: us("2012-06-01T08:00:00+00:00"), 3: us("2015-01-01T09:00:00+00:00"), 4: us("2012-06-01T11:00:00+00:00"), 5: us("2012-06-01T10:00:00+00:00")}
+
+
+def test_references_in_clusters_and_to_one_hot_key(spark):
+    # parents in two far clusters, nine tenths of the references to one of them
+    rng = np.random.default_rng(8)
+    ids = np.r_[np.arange(5_000), 10**15 + np.arange(5_000)]
+    nodes = spark.createDataFrame([(int(i), 1, T0, True) for i in ids[::2]], "id long, version int, tstamp timestamp, visible boolean")
+    keys = np.where(rng.random(4_000) < 0.9, 10**15, rng.choice(ids, 4_000))
+    refs = spark.createDataFrame([(1, int(k), n, T0) for n, k in enumerate(keys)], "way_id long, node_id long, sequence_id int, tstamp timestamp")
+    ways = spark.createDataFrame([(1, 1, T0, True)], "id long, version int, tstamp timestamp, visible boolean")
+    want = {n for n, k in enumerate(keys) if int(k) not in set(ids[::2].tolist())}
+    for kw in ({}, {"range_keys": 100, "batch_refs": 300}, {"range_keys": 1, "batch_refs": 1000}):
+        assert {r.sequence_id for r in orphan_references(refs, nodes, ways, **kw).collect()} == want

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from wayline.functions.times import utc_micros
 
 #: Aimed number of parent keys in a range and of references in a batch.
 RANGE_KEYS = 16_384
+#: Ranges of a table, at most; beyond, each takes its keys in several parts.
+MOST_RANGES = 2048
 BATCH_REFS = 100_000
 
 
@@ -57,8 +60,9 @@ def orphan_references(way_nodes: DataFrame, nodes: DataFrame, ways: DataFrame, r
     the tstamp of the referring row; if repeated rows differ, the earliest of them counts). Null references are no case; a
     null tstamp on either side is never later. Empty parents make every reference missing; no references give no row.
 
-    Keys are range-partitioned; a range holds about ``range_keys`` parents as a sorted array, and is probed by batches of at
-    most about ``batch_refs`` references by binary search. A hot range is split into several batches with a copy of its parents each.
+    Keys are range-partitioned at quantiles of the parents' own keys, so that ranges hold about ``range_keys`` of them however they cluster
+    (of more than MOST_RANGES ranges' worth, each range is parted by a hash of the key). A range holds its parents as a sorted array, and is probed by
+    batches of at most about ``batch_refs`` references by binary search. A hot range is split into several batches with a copy of its parents each.
     """
     raw = way_nodes.select(F.col("way_id").alias("owner"), F.col("sequence_id").alias("pos"), F.col("node_id").cast("long").alias("n"), utc_micros(way_nodes, "tstamp").alias("us"))
     refs = (
@@ -69,17 +73,34 @@ def orphan_references(way_nodes: DataFrame, nodes: DataFrame, ways: DataFrame, r
         .select("r.ref_table", "r.key", "owner", "pos", "us").where("key is not null").distinct()
     )
     parents = _parents(nodes, "nodes").unionByName(_parents(ways, "ways"))
-    span = {}  # two rows: the range width of either table
-    for r in parents.groupBy("ref_table").agg(F.count("*").alias("n"), F.percentile_approx("key", [0.01, 0.99], 1000).alias("q")).collect():
-        span[r["ref_table"]] = max(1, int((r["q"][1] - r["q"][0]) / max(1.0, r["n"] / range_keys)))
-    width = F.when(F.col("ref_table") == "nodes", F.lit(span.get("nodes", 1 << 40))).otherwise(F.lit(span.get("ways", 1 << 40)))
-    ranged = lambda df: df.withColumn("range", F.floor(F.col("key") / width))
+    # one row per table; only the key columns are read
+    ids = nodes.select(F.lit("nodes").alias("ref_table"), F.col("id").cast("long").alias("key")).unionByName(ways.select(F.lit("ways").alias("ref_table"), F.col("id").cast("long").alias("key")))
+    limits: dict[str, np.ndarray] = {}
+    splits: dict[str, int] = {}
+    for r in ids.where("key is not null").groupBy("ref_table").agg(F.count("*").alias("n"), F.percentile_approx("key", [k / MOST_RANGES for k in range(1, MOST_RANGES)], 10_000).alias("q")).collect():
+        ranges = min(MOST_RANGES, -(-r["n"] // range_keys))
+        limits[r["ref_table"]] = np.unique(np.array(r["q"], np.int64)[np.arange(1, ranges) * MOST_RANGES // ranges - 1])
+        splits[r["ref_table"]] = -(-r["n"] // (range_keys * MOST_RANGES))
+
+    def ranged(df: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                name, key = np.array(b.column("ref_table").to_pylist(), object), b.column("key").to_numpy()
+                at = np.zeros(len(b), np.int32)
+                for k, v in limits.items():
+                    at[name == k] = np.searchsorted(v, key[name == k], side="right")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "range"])
+
+        parts = F.when(F.col("ref_table") == "nodes", F.lit(splits.get("nodes", 1))).otherwise(F.lit(splits.get("ways", 1)))
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", range int"
+        return df.mapInArrow(run, ddl).withColumn("split", F.pmod(F.xxhash64("key"), parts).cast("int"))
 
     refs = ranged(refs)
-    salts = refs.groupBy("ref_table", "range").agg(F.ceil(F.count("*") / batch_refs).cast("int").alias("salts"))
-    batches = refs.join(salts, ["ref_table", "range"]).withColumn("salt", F.pmod(F.xxhash64("owner", "pos"), F.col("salts")).cast("int"))
-    copies = ranged(parents).join(salts, ["ref_table", "range"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    by = ["ref_table", "range", "salt"]
+    group = ["ref_table", "range", "split"]
+    salts = refs.groupBy(*group).agg(F.ceil(F.count("*") / batch_refs).cast("int").alias("salts"))
+    batches = refs.join(salts, group).withColumn("salt", F.pmod(F.xxhash64("owner", "pos"), F.col("salts")).cast("int"))
+    copies = ranged(parents).join(salts, group).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    by = [*group, "salt"]
     owner, pos = way_nodes.schema["way_id"].dataType.simpleString(), way_nodes.schema["sequence_id"].dataType.simpleString()
     found = (
         batches.drop("salts").groupBy(*by).cogroup(copies.groupBy(*by))

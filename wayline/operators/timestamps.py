@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.times import utc_micros
-from wayline.session import lookup_join, made
+from wayline.session import cut, lookup_join, made
 
 _CLOCK = r"(\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,18}))?)?"
 _ZONE = r"\s*(Z|z|[A-Z]{1,6}|[+-]\d{2}(?::?\d{2})?)?(?:\[([A-Za-z0-9_+/-]+)\])?"
@@ -27,20 +27,40 @@ MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 DAY_US = 86_400_000_000
 
 
-def abbreviation_offsets(zones: list[str], years: range = range(1970, 2038)) -> list[tuple[str, str, int]]:
-    """(zone, abbreviation, offset in seconds) as used in each zone by the tz database; the latest use counts. Unknown zones give none."""
-    out: dict[tuple[str, str], int] = {}
+def abbreviation_offsets(zones: list[str], first: int = 1970, last: int = 2038) -> list[tuple[str, str, list[tuple[int, int]]]]:
+    """(zone, abbreviation, [(local microseconds from which it counts, offset in seconds)]) as used in each zone by the tz database, in order of time.
+
+    An abbreviation has one entry for every change of its offset; times before the first take the first. Unknown zones give none.
+    """
+    out: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    begin, end = (int(datetime.datetime(y, 1, 1, tzinfo=datetime.UTC).timestamp()) for y in (first, last))
     for name in zones:
         try:
             tz = zoneinfo.ZoneInfo(name)
         except (ValueError, zoneinfo.ZoneInfoNotFoundError, OSError):
             continue
-        for y in years:
-            for m in range(1, 13):
-                t = datetime.datetime(y, m, 15, tzinfo=datetime.UTC).astimezone(tz)
-                if (a := t.tzname()) and a.isalpha():
-                    out[name, a] = int(t.utcoffset().total_seconds())
-    return [(z, a, o) for (z, a), o in sorted(out.items())]
+
+        def at(s: int, tz: zoneinfo.ZoneInfo = tz) -> tuple[str | None, int]:
+            t = datetime.datetime.fromtimestamp(s, tz)
+            return t.tzname(), int(t.utcoffset().total_seconds())
+
+        s, now = begin, None
+        for probe in range(begin, end, 14 * 86_400):
+            got = at(probe)
+            if got == now:
+                s = probe
+                continue
+            low, high = s, probe
+            while now is not None and high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if at(middle) == now else (low, middle)
+            abbreviation, offset = got
+            if abbreviation and abbreviation.isalpha():
+                uses = out.setdefault((name, abbreviation), [])
+                if not uses or uses[-1][1] != offset:
+                    uses.append(((high + offset) * 1_000_000, offset))
+            s, now = probe, got
+    return [(z, a, u) for (z, a), u in sorted(out.items())]
 
 
 def number_us(text: Column) -> Column:
@@ -69,7 +89,10 @@ def _readings(rows: DataFrame, devices: DataFrame) -> DataFrame:
     # distinct zone names are bounded by the tz database (about 600)
     zones = sorted(r[0] for r in known.select("__zone").distinct().collect() if r[0])
     valid = [z for z in zones if z in zoneinfo.available_timezones()]
-    names = F.create_map(*(F.lit(x) for z, a, o in abbreviation_offsets(valid) for x in (f"{z} {a}", o))) if valid else F.create_map().cast("map<string,int>")
+    uses = abbreviation_offsets(valid)
+    names = F.create_map(*(F.lit(x) for z, a, u in uses for x in (f"{z} {a}", u[0][1]))) if uses else F.create_map().cast("map<string,int>")
+    changes = [F.struct(F.lit(f"{z} {a}").alias("name"), F.lit(since).alias("since"), F.lit(o).alias("offset")) for z, a, u in uses for since, o in u[1:]]
+    changed = {f"{z} {a}" for z, a, u in uses if len(u) > 1}
     is_zone = F.col("__zone").isin(valid) if valid else F.lit(False)
 
     part = lambda i: F.get(F.col("__f"), i)
@@ -108,7 +131,12 @@ def _readings(rows: DataFrame, devices: DataFrame) -> DataFrame:
         __offset=F.when(z.isin("Z", "UTC", "GMT"), F.lit(0))
         .when(z.rlike(r"^[+-]"), sign * (F.substring(digits, 1, 2).try_cast("int") * 3600 + num(F.substring(digits, 3, 2)) * 60))
         .when(z != "", F.element_at(names, F.concat_ws(" ", F.col("__zone"), z))),
+        __name=F.concat_ws(" ", F.col("__zone"), z),
     )
+    if changed:  # abbreviations that had several offsets: the last that counts from a local time on
+        then = F.filter(F.array(*changes), lambda c: (c["name"] == F.col("__name")) & (c["since"] <= F.col("__local")))
+        x = made(x, __then=F.when(F.col("__name").isin(*changed), F.get(then, F.size(then) - 1)["offset"]))
+        x = x.withColumn("__offset", F.coalesce("__then", "__offset"))
     x = made(x, __early=F.when(F.col("__here").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("__local"), F.col("__here")))))
     ahead = F.timestamp_micros(F.col("__early") + DAY_US)
     after = F.unix_micros(F.from_utc_timestamp(ahead, F.col("__here"))) - F.unix_micros(ahead)
@@ -127,8 +155,9 @@ def resolve_in_order(rows: DataFrame) -> DataFrame:
     if a row before it (or of equal seq) must be later than its earlier reading, the earlier one if a row after it forces that. Where
     the rule leaves a stretch open, the change lies in the widest silence between its rows (no row counts as endless; ties: the last).
     """
-    one = rows.where("early is not null and seq is not null and local_day is not null").select("id", "local_day", "seq", "early", "late").distinct()
     group = ["id", "local_day"]
+    open_days = rows.where("late is not null and seq is not null").select(*group).distinct()
+    one = rows.where("early is not null and seq is not null and local_day is not null").join(open_days, group, "left_semi").select(*group, "seq", "early", "late").distinct()
     w = Window.partitionBy(*group).orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
     v = Window.partitionBy(*group).orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, 0)
     own = Window.partitionBy(*group)
@@ -169,7 +198,8 @@ def normalise_sequences(traces: DataFrame, devices: DataFrame) -> DataFrame:
     instant). A skipped local time takes the offset before the change; one that occurs twice is decided by ``resolve_in_order``
     (rows with null seq: the earlier reading). Null, empty, blank and other texts name no instant; copies of a row get equal instants.
     """
-    x = _readings(traces.select("row_no", "id", F.col("seq").cast("long").alias("seq"), F.col("time").cast("string").alias("text")), devices)
+    # parsed and written once; only the rows of days on which clocks change go on
+    x = cut(_readings(traces.select("row_no", "id", F.col("seq").cast("long").alias("seq"), F.col("time").cast("string").alias("text")), devices).drop("text"))
     sure = x.where("late is null or seq is null").select("row_no", "id", "seq", F.col("early").alias("utc_us"))
     decided = resolve_in_order(x)
     return sure.unionByName(x.where("late is not null and seq is not null").join(decided, ["id", "seq", "early"]).select("row_no", "id", "seq", "utc_us"))
