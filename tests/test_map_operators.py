@@ -537,3 +537,18 @@ def test_feet_in_the_plane_and_on_the_ellipsoid():
     assert (g.distance(x, y, wx, wy) < 0.02).all()
     bend = np.abs((turn - g.azimuth(ax, ay, bx, by, want) + 180) % 360 - 180)
     assert bend[g.distance(ax, ay, bx, by) > 1].max() < 1e-3
+
+
+def test_routes_do_not_depend_on_the_size_of_the_map(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 40
+    ends = rng.integers(0, 25, (n, 2))
+    edges = spark.createDataFrame([(i, int(a), int(b), float(rng.integers(1, 9) * 50), 50.0, 1.0) for i, (a, b) in enumerate(ends)], "id long, source long, target long, length double, maxspeed double, priority double")
+    point = lambda: {"edge": int(rng.integers(0, n + 2)), "frac": float(rng.integers(0, 5) / 4)}
+    rows = [(k, [point() for _ in range(2)], [point() for _ in range(4)], [None, 300.0, 800.0, 0.0][k % 4]) for k in range(120)]
+    asked = spark.createDataFrame(rows, "key long, sources array<struct<edge:long,frac:double>>, targets array<struct<edge:long,frac:double>>, bound double")
+    rounded = lambda df: sorted((r.key, r.target_no, r.source_no, round(r.cost, 6), round(r.length, 6), tuple(r.edges)) for r in df.collect())
+    small = rounded(routing.shortest_routes(asked, edges))
+    monkeypatch.setattr(routing, "BROADCAST_ROADS", 0)
+    assert rounded(routing.shortest_routes(asked, edges)) == small and len(small) > 40
+    assert routing.shortest_routes(asked.limit(0), edges).count() == 0

@@ -82,6 +82,10 @@ def src_samples_json(s: SparkSession, d: str) -> DataFrame:
     return smp.samples_from_json(table(s, d, "tracker_messages")).select("id", "time_ms", "lon", "lat", F.coalesce(_milli(F.col("azimuth")), F.lit(-1)).alias("azimuth_milli"))
 
 
+def src_duplicate_times(s: SparkSession, d: str) -> DataFrame:
+    return smp.duplicate_times(_pings(s, d))
+
+
 def snk_last_value(s: SparkSession, d: str) -> DataFrame:
     return smp.last_values(_pings(s, d).select("id", "time_ms", "lon", "lat"))
 
@@ -161,7 +165,15 @@ def geo_azimuth(s: SparkSession, d: str) -> DataFrame:
 
 def geo_envelope(s: SparkSession, d: str) -> DataFrame:
     n = current_nodes(table(s, d, "nodes"))
-    return n.select("key", geo.envelope("lon", "lat", F.lit(100.0)).alias("e")).select("key", "e.*")
+    e = n.select("key", geo.envelope("lon", "lat", F.lit(100.0)).alias("e"))
+    return e.select("key", *(_micro(F.col(f"e.{c}")).alias(c) for c in ("west", "south", "east", "north")))
+
+
+def geo_reverse(s: SparkSession, d: str) -> DataFrame:
+    """Ends of the map's lines turned round, through their binary form."""
+    turned = _base(s, d).select("id", geo.from_wkb(geo.to_wkb(geo.reverse_line(F.col("coords")))).alias("c"))
+    at = lambda i, k: _micro(F.element_at("c", i)[k])
+    return turned.select("id", at(1, "lon").alias("lon1"), at(1, "lat").alias("lat1"), at(-1, "lon").alias("lon2"), at(-1, "lat").alias("lat2"), F.size("c").alias("n"))
 
 
 def geo_intersect(s: SparkSession, d: str) -> DataFrame:
@@ -196,6 +208,10 @@ def map_split(s: SparkSession, d: str) -> DataFrame:
     return _roads(s, d).select("id", "base_id", "heading", "source", "target", F.col("type").cast("int").alias("type"), _milli(F.col("maxspeed")).alias("maxspeed"))
 
 
+def map_json(s: SparkSession, d: str) -> DataFrame:
+    return roadmap.road_json(_roads(s, d))
+
+
 def graph_successors(s: SparkSession, d: str) -> DataFrame:
     return roadmap.successors(_roads(s, d))
 
@@ -240,21 +256,17 @@ def _requests(s: SparkSession, d: str, bound: float | None) -> DataFrame:
     return p.select(F.col("path_id").alias("key"), F.array(at(F.col("edges")[0], 0.5)).alias("sources"), F.array(at(F.element_at("edges", -1), 0.75), at(F.col("edges")[0], 0.25)).alias("targets"), F.lit(bound).cast("double").alias("bound"))
 
 
-def _network(s: SparkSession, d: str):
-    return routing.network_of(_roads(s, d))
-
-
 def route_shortest(s: SparkSession, d: str) -> DataFrame:
-    return routing.routes(_requests(s, d, None), _network(s, d))
+    return routing.shortest_routes(_requests(s, d, None), _roads(s, d))
 
 
 def route_bounded(s: SparkSession, d: str) -> DataFrame:
-    return routing.routes(_requests(s, d, 2000.0), _network(s, d))
+    return routing.shortest_routes(_requests(s, d, 2000.0), _roads(s, d))
 
 
 def route_msmt(s: SparkSession, d: str) -> DataFrame:
     r = _requests(s, d, 5000.0)
-    return routing.routes(r.withColumn("sources", F.concat("sources", F.transform("targets", lambda t: F.struct(t["edge"].alias("edge"), F.lit(0.0).alias("frac"))))), _network(s, d))
+    return routing.shortest_routes(r.withColumn("sources", F.concat("sources", F.transform("targets", lambda t: F.struct(t["edge"].alias("edge"), F.lit(0.0).alias("frac"))))), _roads(s, d))
 
 
 # matching
@@ -448,7 +460,9 @@ def cl_1d(s: SparkSession, d: str) -> DataFrame:
 
 
 def cl_cyclic(s: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_ring(_clock(s, d), 86400.0, 10.0, 4)
+    """Clusters named by their smallest value."""
+    x = cluster.cluster_ring(_clock(s, d), 86400.0, 10.0, 4)
+    return x.select("x", "n", F.min("x").over(Window.partitionBy("cluster")).alias("cluster"))
 
 
 def cl_bounds(s: SparkSession, d: str) -> DataFrame:
@@ -460,7 +474,10 @@ def cl_density_function(s: SparkSession, d: str) -> DataFrame:
 
 
 def cl_dbscan(s: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_points(current_nodes(table(s, d, "nodes")), 60.0, 4)
+    """Places with the smallest place of their cluster."""
+    x = cluster.cluster_points(current_nodes(table(s, d, "nodes")), 60.0, 4)
+    least = x.groupBy("cluster").agg(F.min(F.struct("lon", "lat")).alias("m"))
+    return x.join(least, "cluster").select(*(_micro(F.col(a)).alias(b) for a, b in (("lon", "lon"), ("lat", "lat"), ("m.lon", "cluster_lon"), ("m.lat", "cluster_lat"))))
 
 
 # tracking, as batches
@@ -485,9 +502,9 @@ def st_sessions_by_ttl(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        mm_match, src_road_types, src_road_scan_filtered, src_samples_json, snk_last_value, imp_way_nodes_join, imp_node_counts, imp_way_aggs, imp_oneway, imp_maxspeed, imp_segments,
-        geo_distance, geo_length, geo_heading_diff, geo_wkt, geo_in_polygon, geo_intercept, geo_interpolate, geo_azimuth, geo_envelope, geo_intersect, idx_radius, idx_nearest, idx_knearest,
-        idx_roadpoints, map_split, graph_successors, graph_components, cost_time_priority, route_cost, path_valid, route_concat, route_shortest, route_bounded, route_msmt, mm_candidates, mm_minset,
+        mm_match, src_road_types, src_road_scan_filtered, src_samples_json, src_duplicate_times, snk_last_value, imp_way_nodes_join, imp_node_counts, imp_way_aggs, imp_oneway, imp_maxspeed, imp_segments,
+        geo_distance, geo_length, geo_heading_diff, geo_wkt, geo_in_polygon, geo_intercept, geo_interpolate, geo_azimuth, geo_envelope, geo_intersect, geo_reverse, idx_radius, idx_nearest, idx_knearest,
+        idx_roadpoints, map_split, map_json, graph_successors, graph_components, cost_time_priority, route_cost, path_valid, route_concat, route_shortest, route_bounded, route_msmt, mm_candidates, mm_minset,
         mm_emission, mm_bound, mm_transition, mm_thin, mm_slim_json, mm_geojson, mm_osm_ways, hmm_initial, hmm_step, hmm_break, hmm_step_all, hmm_break_all, hmm_viterbi, kstate_k, kstate_t, ev_subsample, ev_sequence, ev_align, cl_1d, cl_cyclic, cl_bounds,
         cl_density_function, cl_dbscan, st_latest_state, st_late_flags, st_thin, st_sessions_by_ttl,
     )
@@ -545,6 +562,27 @@ f1 as (select key, j, e / sum(e) over (partition by key) as f, log10(e) as q fro
 t as (select b.key, b.j, b.e, a.j as i, a.f, case when a.j = b.j then 0.9 else 0.1 end::double as p, a.q + log10(case when a.j = b.j then 0.9 else 0.1 end::double) + log10(b.e) as q from v b join f1 a on a.key = b.key where b.k = 2 and b.node_id % 17 <> 0),
 g as (select key, j, e * sum(p * f) as f, max(q) as q, arg_max(i, (q, -i)) as pred from t group by key, j, e)
 """
+_COORDS = "li as (select way_id * 10000 + seg as id, arg_min(lon, i) as lon_a, arg_min(lat, i) as lat_a, arg_max(lon, i) as lon_b, arg_max(lat, i) as lat_b, count(*) as n from c3 group by way_id, seg)"
+#: metres on the ellipsoid between near places, by the middle latitude
+_W = "(1 - 0.0066943799901413165 * pow(sin(radians((a.lat + b.lat) / 2)), 2))"
+_FLAT = f"""6378137.0 * sqrt(pow(radians(b.lat - a.lat) * (1 - 0.0066943799901413165) / pow({_W}, 1.5), 2)
+  + pow(radians(((b.lon - a.lon + 180) % 360 + 360) % 360 - 180) * cos(radians((a.lat + b.lat) / 2)) / sqrt({_W}), 2))"""
+#: the first later ping that is far and late enough, and on from there
+_THIN = f"""with recursive {_PINGS}, u as (select distinct id, time_ms, lon, lat from pg), o as materialized (select *, row_number() over (partition by id order by time_ms) as k from u),
+nx as materialized (select a.id, a.k, min(b.k) as nk from o a join o b on a.id = b.id and b.k > a.k and b.time_ms - a.time_ms >= {{ms}} {{far}} group by a.id, a.k),
+acc(id, k) as (select distinct id, 1::bigint from o union all select acc.id, nx.nk from acc join nx on nx.id = acc.id and nx.k = acc.k)
+select o.id, o.time_ms, o.lon, o.lat from acc join o on o.id = acc.id and o.k = acc.k"""
+#: clusters on the ring of seconds of a day: values unrolled three times round
+_RING = """with v as (select floor(((epoch_us(ts) % 86400000000) + 86400000000) % 86400000000 / 1e6)::double as x, count(*) as n from events where ts is not null group by 1),
+un as (select x + 86400 * t as y, x, n, t from v, (select unnest([-1, 0, 1]) as t)),
+nr as (select *, sum(n) over (order by y range between 10 preceding and 10 following) as near from un),
+co as (select x, x - coalesce(lag(x) over (order by x), (select max(x) from nr where t = 0 and near >= 4) - 86400) as gap from nr where t = 0 and near >= 4),
+sg as (select x, sum((gap > 10)::int) over (order by x) as g from co),
+rg as (select x, case when g = 0 then (select max(g) from sg) else g end as g from sg),
+cu as (select rg.x + 86400 * t as y, g from rg, (select unnest([-1, 0, 1]) as t)),
+bo as (select v.x, max(cu.y) filter (cu.y <= v.x) as lo, min(cu.y) filter (cu.y >= v.x) as hi from v left join cu on cu.y between v.x - 10 and v.x + 10 where v.x not in (select x from rg) group by v.x),
+al as (select x, g from rg union all select bo.x, cu.g from bo join cu on cu.y = case when hi is null or bo.x - lo <= hi - bo.x then lo else hi end),
+cl as (select al.x, v.n, min(al.x) over (partition by g) as cluster from al join v using (x))"""
 _STEPDT = f"with {_PINGS}, dt as (select id, sample_no, time_ms - lag(time_ms) over (partition by id order by time_ms, sample_no) as dt from pg)"
 
 SQL: dict[str, str] = {
@@ -565,6 +603,29 @@ SQL: dict[str, str] = {
     "geo_length": f"with {_STEPS}, q as (select *, lead(lon) over w as lon2, lead(lat) over w as lat2 from loc window w as (partition by way_id order by sequence_id)), a as (select way_id, lon, lat, struct_pack(lon := lon2, lat := lat2) as b from q where lat2 is not null) select way_id, round(sum({_HAV.format(a='a', b='b')}) * 100)::bigint as cm from a group by way_id",
     "geo_heading_diff": "with a as (select sample_no, case when isnan(azimuth) then null else ((azimuth % 360) + 360) % 360 end as z from samples) select sample_no, round(least(abs(z - 350), 360 - abs(z - 350)) * 1000)::bigint as milli from a where z is not null",
     "geo_wkt": f"with {_PLACES} select key as row_no, round(lon * 1e6)::bigint as lon, round(lat * 1e6)::bigint as lat from pl",
+    "geo_reverse": f"with {_BASE}, {_COORDS} select id, round(lon_b * 1e6)::bigint as lon1, round(lat_b * 1e6)::bigint as lat1, round(lon_a * 1e6)::bigint as lon2, round(lat_a * 1e6)::bigint as lat2, n::int as n from li join base using (id)",
+    "geo_envelope": f"""with {_NODES}, w as (select id as key, lon, lat, 1 - 0.0066943799901413165 * pow(sin(radians(lat)), 2) as w from nd),
+      r as (select key, lon, lat, degrees(100 / (6378137.0 * (1 - 0.0066943799901413165) / pow(w, 1.5))) as dy, degrees(100 / (6378137.0 / sqrt(w) * cos(radians(lat)))) as dx from w)
+      select key, round((((lon - dx + 180) % 360 + 360) % 360 - 180) * 1e6)::bigint as west, round((lat - dy) * 1e6)::bigint as south, round((((lon + dx + 180) % 360 + 360) % 360 - 180) * 1e6)::bigint as east, round((lat + dy) * 1e6)::bigint as north from r""",
+    "src_duplicate_times": f"with {_PINGS} select id, time_ms, count(*) as n from pg group by all having count(*) > 1",
+    "map_json": f"""with {_BASE} select id, '{{"road":' || base_id || ',"heading":"' || heading || '"}}' as json from road""",
+    "graph_components": f"""with recursive {_BASE}, e as materialized (select source as a, target as b from road union select target, source from road),
+      lab(v, l) using key (v) as (select distinct a, a from e union select e.b, min(lab.l) from lab join e on e.a = lab.v join recurring.lab as cur on cur.v = e.b where lab.l < cur.l group by e.b)
+      select id, l as component from road join lab on lab.v = road.source""",
+    "mm_thin": _THIN.format(ms=5000, far=f"and {_FLAT} >= 10"),
+    "st_thin": _THIN.format(ms=60000, far=""),
+    "cl_cyclic": _RING + " select x, n, cluster from cl",
+    "cl_bounds": _RING + """, gp as (select cluster, x, coalesce(lead(x) over w, min(x) over (partition by cluster)) as nx, coalesce(lead(x) over w, min(x) over (partition by cluster) + 86400) - x as gap from cl window w as (partition by cluster order by x)),
+      b as (select *, row_number() over (partition by cluster order by gap desc, x) as r from gp)
+      select cluster, case when gap > 10 + 1e-10 then ((nx - 5) % 86400 + 86400) % 86400 end as low, case when gap > 10 + 1e-10 then (x + 5) % 86400 end as high from b where r = 1""",
+    "cl_dbscan": f"""with recursive {_NODES}, pt as (select row_number() over (order by lon, lat) as k, lon, lat from (select distinct lon, lat from nd)),
+      nb as (select a.k as a, b.k as b, {_HAV.format(a='a', b='b')} as d from pt a join pt b on b.lat between a.lat - 0.0006 and a.lat + 0.0006),
+      ne as materialized (select * from nb where d < 60), core as materialized (select a as k from ne group by a having count(*) >= 4),
+      ce as materialized (select a, b from ne where a in (select k from core) and b in (select k from core)),
+      lab(v, l) using key (v) as (select k, k from core union select ce.b, min(lab.l) from lab join ce on ce.a = lab.v join recurring.lab as cur on cur.v = ce.b where lab.l < cur.l group by ce.b),
+      m as (select v as k, l from lab union all select a, arg_min(lab.l, (ne.d, lab.l)) from ne join lab on lab.v = ne.b where ne.a not in (select k from core) group by a),
+      n as (select l, min(k) as least from m group by l)
+      select round(p.lon * 1e6)::bigint as lon, round(p.lat * 1e6)::bigint as lat, round(q.lon * 1e6)::bigint as cluster_lon, round(q.lat * 1e6)::bigint as cluster_lat from m join n using (l) join pt p on p.k = m.k join pt q on q.k = n.least""",
     "geo_in_polygon": f"with {_NODES} select id as key from nd where lon > 9.3 and lon < 9.5 and lat > 51.2 and lat < 51.32",
     "idx_radius": f"{_NEAR} select key, target, round(d * 1000)::bigint as mm from hit where d < 30",
     "idx_nearest": f"{_ALLPAIRS} select key, target, round(d * 1000)::bigint as mm from (select *, rank() over (partition by key order by d) as r from hit) where r = 1",

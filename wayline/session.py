@@ -16,12 +16,15 @@ def spark_of(df: DataFrame) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is named (tests), a temporary one."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Where none is named, a temporary one does for a local session; a cluster needs one that all
+    its machines see."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder: set it to one that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-checkpoint-"))
 
 
