@@ -13,6 +13,7 @@ from wayline.operators.proximity import near_points, zones_around
 from wayline.operators.references import orphan_references, orphan_report
 from wayline.operators.timestamps import normalise_messages, normalise_sequences
 from wayline.operators.trips import stops_and_trips
+from wayline.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,22 +61,32 @@ def current_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of x0001_015, parsed and written once, as the joins read them several times."""
     x = table(spark, d, "x0001_015").select(F.col("row_no").alias("key"), point(F.col("geom")).alias("p")).where("p is not null")
-    return x.select("key", "p.lon", "p.lat")
+    return cut(x.select("key", "p.lon", "p.lat"))
 
 
-def p5_near_nodes(spark: SparkSession, d: str) -> DataFrame:
-    x = near_points(_positions(spark, d), current_nodes(table(spark, d, "nodes")), 20.0)
+def _near_nodes(at: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    x = near_points(at, cut(current_nodes(table(spark, d, "nodes"))), 20.0)
     return x.select(F.lit("node").alias("near"), F.col("left_key").alias("row_no"), F.col("right_key").alias("ref_id"))
 
 
-def p5_zones(spark: SparkSession, d: str) -> DataFrame:
-    x = zones_around(_positions(spark, d), table(spark, d, "zones").select(F.col("zone_id").alias("key"), "geom"))
+def _zones(at: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    x = zones_around(at, table(spark, d, "zones").select(F.col("zone_id").alias("key"), "geom"))
     return x.select(F.lit("zone").alias("near"), F.col("left_key").alias("row_no"), F.col("right_key").alias("ref_id"))
 
 
+def p5_near_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _near_nodes(_positions(spark, d), spark, d)
+
+
+def p5_zones(spark: SparkSession, d: str) -> DataFrame:
+    return _zones(_positions(spark, d), spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_near_nodes(spark, d).unionByName(p5_zones(spark, d))
+    at = _positions(spark, d)
+    return _near_nodes(at, spark, d).unionByName(_zones(at, spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
