@@ -552,3 +552,41 @@ def test_routes_do_not_depend_on_the_size_of_the_map(spark, monkeypatch):
     monkeypatch.setattr(routing, "BROADCAST_ROADS", 0)
     assert rounded(routing.shortest_routes(asked, edges)) == small and len(small) > 40
     assert routing.shortest_routes(asked.limit(0), edges).count() == 0
+
+
+def crowded_map(spark):
+    """Roads of one to three segments between random nodes, some one-way, some closed, one from far away."""
+    rng = np.random.default_rng(11)
+    at = [(11 + float(x), 48 + float(y)) for x, y in rng.uniform(0, 0.008, (40, 2))] + [(60.0, 10.0)]
+    rows = []
+    for i in range(120):
+        n = [int(v) for v in rng.integers(0, 40, int(rng.integers(2, 5)))]
+        n = [40, *n] if i == 5 else [*n, n[0]] if i % 10 == 0 else n
+        line = g.Line(*zip(*(at[v] for v in n), strict=True))
+        rows.append((i, n[0], n[-1], i, bool(i % 3 == 0), 0, 1.0, 50.0, 50.0, line.length, [{"lon": at[v][0], "lat": at[v][1]} for v in n]))
+    base = spark.createDataFrame(rows, src.BASE_ROAD)
+    points = spark.createDataFrame([(k, 11 + float(x), 48 + float(y)) for k, (x, y) in enumerate(rng.uniform(0, 0.008, (60, 2)))], "key long, lon double, lat double")
+    return base, roadmap.split_roads(base), points
+
+
+def test_road_points_are_lifted_where_they_are_found(spark):
+    base, roads, points = crowded_map(spark)
+    got = matcher.candidates(points, base, roads, 200.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not plan[: plan.index("FlatMapCoGroups")].count("Join")  # no hit is shuffled to its road
+    rounded = lambda df: sorted((r.key, r.edge, round(r.frac, 7), round(r.distance, 4), round(r.lon, 8), round(r.lat, 8), round(r.azimuth, 3)) for r in df.collect())
+    rows = rounded(got)
+    assert rows == rounded(search.road_points(search.roads_within(points, base, 200.0), roads)) and len(rows) > 1000
+    # brute force on the ellipsoid, over whole segments
+    lines = [(r.id, g.Line([c.lon for c in r.coords], [c.lat for c in r.coords])) for r in base.collect()]
+    want = {(p.key, i): v for p in points.collect() for i, line in lines if (v := line.intercept(p.lon, p.lat))[1] < 200}
+    have = {(k, e // 2): d for k, e, f, d, *_ in rows if e % 2 == 0}
+    assert set(have) == set(want) and all(abs(have[k] - want[k][1]) < 1e-3 for k in want)
+
+
+def test_the_first_of_equally_near_places_on_a_road_counts(spark):
+    # a closed road, nearest at its joint: always at 0, whatever the last digits are
+    corner = [(11.0, 48.0), (11.002, 48.0007), (11.0013, 48.003), (11.0, 48.0)]
+    base = spark.createDataFrame([(0, 1, 1, 0, True, 0, 1.0, 50.0, 50.0, 1000.0, [{"lon": x, "lat": y} for x, y in corner])], src.BASE_ROAD)
+    points = spark.createDataFrame([(k, 11 - 0.00001 * (k % 20 + 1), 48 - 0.00001 * (k // 20 + 1)) for k in range(200)], "key long, lon double, lat double")
+    assert {r.frac for r in search.roads_within(points, base, 200.0).collect()} == {0.0}
