@@ -590,3 +590,11 @@ def test_the_first_of_equally_near_places_on_a_road_counts(spark):
     base = spark.createDataFrame([(0, 1, 1, 0, True, 0, 1.0, 50.0, 50.0, 1000.0, [{"lon": x, "lat": y} for x, y in corner])], src.BASE_ROAD)
     points = spark.createDataFrame([(k, 11 - 0.00001 * (k % 20 + 1), 48 - 0.00001 * (k // 20 + 1)) for k in range(200)], "key long, lon double, lat double")
     assert {r.frac for r in search.roads_within(points, base, 200.0).collect()} == {0.0}
+
+
+def test_candidates_are_reduced_where_they_are_found(spark):
+    base, roads, points = crowded_map(spark)
+    rounded = lambda df: sorted((r.key, r.edge, round(r.frac, 9)) for r in df.collect())
+    every = matcher.candidates(points, base, roads, 200.0)
+    want = rounded(matcher.minset(every, roadmap.successors(roads)))
+    assert rounded(matcher.least_candidates(points, base, roads, 200.0)) == want and 100 < len(want) < every.count()
