@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import geodesic as g
 from wayline.functions.hmm import Memory, State, step
-from wayline.functions.network import Network, route_geometry
+from wayline.functions.network import Network, Targets, route_geometry
 from wayline.operators import cluster, evaluation, geo, matcher, osm, roadmap, routing, search
 from wayline.sources import roads as src
 from wayline.sources import samples as smp
@@ -598,3 +598,26 @@ def test_candidates_are_reduced_where_they_are_found(spark):
     every = matcher.candidates(points, base, roads, 200.0)
     want = rounded(matcher.minset(every, roadmap.successors(roads)))
     assert rounded(matcher.least_candidates(points, base, roads, 200.0)) == want and 100 < len(want) < every.count()
+
+
+def test_costs_of_many_points_at_once():
+    rng = np.random.default_rng(4)
+    ends = rng.integers(0, 12, (30, 2))
+    ids = np.r_[0:30, 0:30] * 2 + np.repeat([0, 1], 30)
+    length = np.tile(rng.integers(0, 9, 30) * 50.0, 2)
+    net = Network(ids, np.r_[ends[:, 0], ends[:, 1]], np.r_[ends[:, 1], ends[:, 0]], length, length / 10)
+    points = [(int(e), float(f)) for e, f in zip(rng.integers(0, 60, 40), rng.integers(0, 5, 40) / 4, strict=True)]
+    near = list({e: (e, f) for e, f in points}.values())
+    edges, fracs, targets = np.array([e for e, _ in points]), np.array([f for _, f in points]), Targets(net, near)
+    for bound in (float("inf"), 600.0, 0.0):
+        cost, second = net.cost_table(edges, fracs, targets, bound)
+        for i, (e, f) in enumerate(points):
+            c, _, s = net.costs(e, f, targets, bound)
+            assert np.array_equal(cost[i], c) and np.array_equal(second[i][np.isfinite(c)], s[np.isfinite(c)])
+        # without turns: as the routes themselves are shortened
+        m = matcher.Matcher(net, matcher.Parameters())
+        short = m._short_costs(edges, fracs, targets, bound)
+        for i, a in enumerate(points):
+            for j, b in enumerate(near):
+                r = net.routes(*a, [b], bound)[0]
+                assert short[i, j] == pytest.approx(m._shortened(a, b, r)[0] if r is not None else np.inf, abs=1e-9)
