@@ -621,3 +621,11 @@ def test_costs_of_many_points_at_once():
             for j, b in enumerate(near):
                 r = net.routes(*a, [b], bound)[0]
                 assert short[i, j] == pytest.approx(m._shortened(a, b, r)[0] if r is not None else np.inf, abs=1e-9)
+
+
+def test_requests_spread_over_the_cores(spark):
+    edges = spark.createDataFrame([(i, i, i + 1, 100.0, 50.0, 1.0) for i in range(50)], "id long, source long, target long, length double, maxspeed double, priority double")
+    rows = [(k, [{"edge": k, "frac": 0.0}], [{"edge": 49, "frac": 1.0}], None) for k in range(50)]
+    asked = spark.createDataFrame(rows, "key long, sources array<struct<edge:long,frac:double>>, targets array<struct<edge:long,frac:double>>, bound double").coalesce(1)
+    got = routing.shortest_routes(asked, edges).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.key, len(r.edges)) for r in got} == {(k, 50 - k) for k in range(50)} and len({r.task for r in got}) >= 4
